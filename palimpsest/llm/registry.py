@@ -1,9 +1,15 @@
 """Queries of the training-data operators and their SQL, as ``__spark_entry__`` registers them."""
 
 from .chat import op6_chat
+from .decontam import OP1_SQL, op1_decontaminate
+from .packing import op3_packing
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op3_packing": op3_packing,
     "op6_chat": op6_chat,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_decontaminate": OP1_SQL,
+}
