@@ -8,10 +8,11 @@ block, finds them all.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -116,26 +117,32 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Null texts are empty; a null id comes first; ties of the id are ordered by a hash of the text. A single row is its own next one.
     """
-    import hashlib
-
     keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ranged = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
-    def result(ids: list, texts: list[str], marks: np.ndarray, following: list[str], next_marks: np.ndarray) -> pd.DataFrame:
+    columns = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    names = [c.split()[0] for c in columns.split(", ")]
+
+    def result(ids: list, texts: list[str], marks: np.ndarray, following: list[str], next_marks: np.ndarray) -> dict[str, pa.Array]:
         new = [edited(t, f) for t, f in zip(texts, following, strict=True)]
         after = fingerprints(new)
-        return pd.DataFrame({
-            "doc_id": pd.array(ids, "Int64"), "n_chars": [len(t) for t in texts],
-            "edited_sha256": [hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in new],
-            "fingerprint": [m.tobytes().hex() for m in marks], "edited_fingerprint": [m.tobytes().hex() for m in after],
-            "near_edited": likeness(marks, after), "near_next": likeness(marks, next_marks),
-        })
-
-    def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return {
+            "doc_id": pa.array(ids, pa.int64()), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
+            "edited_sha256": pa.array([hashlib.sha256(t.encode("utf-8", "replace")).hexdigest() for t in new], pa.string()),
+            "fingerprint": pa.array([m.tobytes().hex() for m in marks], pa.string()),
+            "edited_fingerprint": pa.array([m.tobytes().hex() for m in after], pa.string()),
+            "near_edited": pa.array(likeness(marks, after)), "near_next": pa.array(likeness(marks, next_marks)),
+        }
+
+    def filled(kind: str, part: int, text: str | None, found: dict[str, pa.Array], n: int = 1) -> pa.RecordBatch:
+        got = {"kind": pa.array([kind] * n, pa.string()), "part": pa.array([part] * n, pa.int64()), "text": pa.array([text] * n, pa.string())} | found
+        types = {"doc_id": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
+        return pa.RecordBatch.from_arrays([got[c] if c in got else pa.nulls(n, types.get(c, pa.string())) for c in ["kind", "part", "text", *names]], ["kind", "part", "text", *names])
+
+    def walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, held, begun = TaskContext.get().partitionId(), None, False
         for batch in batches:
-            ids = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
-            texts = batch["text"].tolist()
+            ids, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
             at = 0
             while at < len(texts):
                 end, size = at, 0
@@ -145,39 +152,30 @@ def with_next(docs: DataFrame) -> DataFrame:
                 some, these, marks = texts[at:end], ids[at:end], fingerprints(texts[at:end])
                 if not begun:
                     begun = True
-                    yield pd.DataFrame({"kind": ["head"], "part": [part], "doc_id": pd.array([these[0]], "Int64"), "text": [some[0]]})
+                    yield filled("head", part, some[0], {})
                 if held:
                     these, some, marks = [held[0], *these], [held[1], *some], np.concatenate([held[2], marks])
                 if len(some) > 1:
-                    yield result(these[:-1], some[:-1], marks[:-1], some[1:], marks[1:]).assign(kind="row", part=part)
+                    yield filled("row", part, None, result(these[:-1], some[:-1], marks[:-1], some[1:], marks[1:]), len(some) - 1)
                 held = these[-1], some[-1], marks[-1:]
                 at = end
         if held:
-            yield pd.DataFrame({"kind": ["tail"], "part": [part], "doc_id": pd.array([held[0]], "Int64"), "text": [held[1]]})
-
-    columns = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    names = [c.split()[0] for c in columns.split(", ")]
-
-    def walk_full(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for out in walk(batches):
-            yield out.reindex(columns=["kind", "part", "text", *names])
+            yield filled("tail", part, held[1], {"doc_id": pa.array([held[0]], pa.int64())})
 
-    walked = materialize(ranged.select("doc_id", "text").mapInPandas(walk_full, f"kind string, part long, text string, {columns}"), "simhash")
+    walked = materialize(ranged.select("doc_id", "text").mapInArrow(walk, f"kind string, part long, text string, {columns}"), "simhash")
     parts = sorted(r.part for r in walked.where("kind = 'head'").select("part").collect())  # a number per partition
     after = {p: parts[(k + 1) % len(parts)] for k, p in enumerate(parts)}
     order = docs.sparkSession.createDataFrame(list(after.items()), "part long, next_part long")
 
-    def join_ends(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def join_ends(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(len(batch)):
-                r = batch.iloc[k]
-                texts = [r["text"], r["next_text"]]
+            for doc, *texts in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "next_text")), strict=True):
                 marks = fingerprints(texts)
-                yield result([None if pd.isna(r["doc_id"]) else int(r["doc_id"])], texts[:1], marks[:1], texts[1:], marks[1:])[names]
+                yield pa.RecordBatch.from_pydict(result([doc], texts[:1], marks[:1], texts[1:], marks[1:]))
 
     heads = walked.where("kind = 'head'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
     ends = walked.where("kind = 'tail'").select("part", "doc_id", "text").join(order, "part").join(heads, "next_part")
-    return walked.where("kind = 'row'").select(*names).unionByName(ends.select("doc_id", "text", "next_text").mapInPandas(join_ends, columns))
+    return walked.where("kind = 'row'").select(*names).unionByName(ends.select("doc_id", "text", "next_text").mapInArrow(join_ends, columns))
 
 
 def near_fingerprints(marks: DataFrame, queries: DataFrame, radius: int = 8) -> DataFrame:
