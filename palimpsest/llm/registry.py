@@ -3,6 +3,7 @@
 from .chat import op6_chat
 from .decontam import OP1_SQL, op1_decontaminate
 from .langid import op8_langid
+from .licenses import op4_licenses
 from .linededup import op7_linededup
 from .minhash import OP5_SQL, op5_minhash
 from .packing import op3_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
+    "op4_licenses": op4_licenses,
     "op5_minhash": op5_minhash,
     "op6_chat": op6_chat,
     "op7_linededup": op7_linededup,
