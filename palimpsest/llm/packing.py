@@ -12,6 +12,8 @@ less than ``pool_tokens`` plus one document.
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import unicodedata
 from collections import defaultdict
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import read
 
 CAPACITY, END_ID = 4096, 2
-SEGMENT = 1 << 20
+GROUP = 1 << 16  # characters tokenized together: their words stay in the processor's caches
 #: Texts with these are encoded directly: special tokens, a letter whose lower case depends on its place, rare spaces.
 _DIRECT = re.compile("<\\|startoftext\\|>|<\\|endoftext\\|>|Σ|İ|[\x1c-\x1f\x85]")
 
@@ -36,15 +38,21 @@ class WordTokenizer:
 
     The vocabulary lower-cases, drops white space and cuts texts into runs of letters, single
     digits and runs of marks before it merges, and each such piece ends with an end-of-word id. So a text's
-    ids are those of its pieces one after the other; most pieces repeat, and only
-    new ones go through the tokenizer, many at a time.
+    ids are those of the chunks between white space one after the other, and theirs those of their pieces. Most
+    chunks repeat; only new pieces go through the tokenizer, many at a time.
     """
 
-    def __init__(self, path: str, keep: int = 600_000) -> None:
+    def __init__(self, path: str, keep: int = 1_200_000) -> None:
         import regex
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        plain = json.loads(self.tok.to_str())  # for pieces, which are normal and split already
+        plain["normalizer"] = None
+        plain["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
+        self.plain = Tokenizer.from_str(json.dumps(plain))
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
         last = np.zeros(self.tok.get_vocab_size() + 1, bool)
@@ -55,7 +63,7 @@ class WordTokenizer:
     def _learn(self, new: list[str]) -> None:
         for k in range(0, len(new), 20_000):
             part = new[k : k + 20_000]
-            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):  # a piece with another number of ends: one by one
                 for p in part:
@@ -66,40 +74,32 @@ class WordTokenizer:
                 self.known[p] = raw[at:e]
                 at = e
 
-    def _segments(self, text: str) -> Iterator[str]:
-        at = 0
-        while len(text) - at > SEGMENT:
-            cut = next((m.end() for m in re.compile(r"\s").finditer(text, at + SEGMENT)), len(text))
-            yield text[at:cut]
-            at = cut
-        yield text[at:]
-
     def ids_of(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; new pieces of all of them are encoded together."""
-        split: list[list[list[str]] | None] = []
+        """Ids of each text; new chunks between white space, and new pieces in them, are encoded together."""
+        split: list[list[str] | None] = []
         for text in texts:
             if _DIRECT.search(text):
                 split.append(None)
-                continue
-            parts = []
-            for part in self._segments(text):
-                if part.isascii():
-                    parts.append(self.ascii_pieces(part.lower()))
-                else:
-                    parts.append(self.pieces(unicodedata.normalize("NFC", part).lower()))
-            split.append(parts)
-        new = set().union(*(p for parts in split if parts for p in parts)) - self.known.keys()
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-            new = set().union(*(p for parts in split if parts for p in parts))
+            else:
+                split.append((text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split())
+        known = self.known
+        got = [chunks and list(map(known.get, chunks)) for chunks in split]
+        new = {c for chunks, ids in zip(split, got, strict=True) if ids and None in ids for c, x in zip(chunks, ids, strict=True) if x is None}
         if new:
-            self._learn(list(new))
-        known, out = self.known, []
-        for text, parts in zip(texts, split, strict=True):
-            if parts is None:
+            if len(known) + 2 * len(new) > self.keep:
+                known.clear()
+            mixed = {c: self.ascii_pieces(c) if c.isascii() else self.pieces(c) for c in new if not c.isalpha()}
+            self._learn(list((new - mixed.keys()).union(*mixed.values()).difference(known)))
+            for c, pieces in mixed.items():
+                known[c] = b"".join([known[p] for p in pieces])
+        out = []
+        for text, chunks, ids in zip(texts, split, got, strict=True):
+            if chunks is None:
                 out.append(np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4"))
             else:
-                out.append(np.frombuffer(b"".join([known[p] for part in parts for p in part]), "<u4"))
+                if None in ids:
+                    ids = [known[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
+                out.append(np.frombuffer(b"".join(ids), "<u4"))
         return out
 
 
@@ -235,7 +235,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                 docs.append(None if pd.isna(doc) else int(doc))
                 texts.append(text or "")
                 size += len(texts[-1])
-                if size > SEGMENT:
+                if size > GROUP:
                     yield docs, texts
                     docs, texts, size = [], [], 0
             yield docs, texts
