@@ -82,10 +82,10 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, slop: i
     like any other. Rows sharing a ``doc_id`` are copies of one document. Repeated items count once per id.
     """
     items = test_items(benchmark, window)
-    return _matches(build_index(docs, items), items, slop, near_share)
+    return _matches(docs, build_index(docs, items), items, slop, near_share)
 
 
-def _matches(postings: DataFrame, items: TestItems, slop: int, near_share: float) -> DataFrame:
+def _matches(docs: DataFrame, postings: DataFrame, items: TestItems, slop: int, near_share: float) -> DataFrame:
     # Windows whose terms all occur, with each term's rank by its count of postings
     counts = postings.groupBy("term").agg(F.count("*").alias("n"))
     windows = items.passages.select(
@@ -97,21 +97,23 @@ def _matches(postings: DataFrame, items: TestItems, slop: int, near_share: float
     ranked = (
         windows.join(small(counts, items.n_terms), "term")
         .withColumn("rank", F.row_number().over(order))
-        .where((F.col("rank") == 1) | (F.col("rank") == 2) & (F.col("n") <= rare))
+        .where("rank <= 2")
     )
     whole = windows.join(small(counts, items.n_terms), "term").groupBy("passage", "w", "size").count().where("count = size").select("passage", "w")
-    # per window: item positions q1 of its rarest term and q2 of the next one, if that is rare
+    # per window: its rarest term t1 and the next one t2, with item positions; "rare" says if t2 is rare
+    place = F.struct((F.col("w") + F.col("off")).alias("q"), F.col("term"), (F.col("n") <= rare).alias("rare"))
     needs = materialize(
         ranked.join(whole, ["passage", "w"])
         .groupBy("passage", "w")
-        .agg(
-            F.max(F.when(F.col("rank") == 1, F.struct(F.col("term"), (F.col("w") + F.col("off")).alias("q")))).alias("t1"),
-            F.max(F.when(F.col("rank") == 2, F.struct(F.col("term"), (F.col("w") + F.col("off")).alias("q")))).alias("t2"),
-        ),
+        .agg(F.max(F.when(F.col("rank") == 1, place)).alias("t1"), F.max(F.when(F.col("rank") == 2, place)).alias("t2")),
         "needs",
     )
-    anchors = needs.select("passage", F.explode(F.array("t1", "t2")).alias("t")).where("t is not null").select("passage", F.col("t.q").alias("q"), F.col("t.term").alias("term")).distinct()
-    tests = needs.groupBy("passage").agg(F.collect_set(F.struct(F.col("t1.q").alias("q1"), F.col("t2.q").alias("q2"))).alias("tests"))
+    anchors = (
+        needs.select("passage", F.explode(F.expr("filter(array(t1, t2), (t, k) -> k = 0 or t.rare)")).alias("t"))
+        .select("passage", F.col("t.q").alias("q"), F.col("t.term").alias("term"))
+        .distinct()
+    )
+    tests = needs.groupBy("passage").agg(F.collect_set(F.struct(F.col("t1.q").alias("q1"), F.col("t2").alias("t2"))).alias("tests"))
     # offset-adjusted lists: a posting of a rare term at item position q lies on diagonal pos - q
     n_anchors, n_tests = anchors.count(), items.n_passages
     lists = (
@@ -119,10 +121,20 @@ def _matches(postings: DataFrame, items: TestItems, slop: int, near_share: float
         .groupBy("doc_id", "passage", (F.col("pos") - F.col("q")).alias("diag"))
         .agg(F.collect_set("q").alias("qs"))
     )
-    met = "exists(tests, t -> array_contains(qs, t.q1) and (t.q2 is null or array_contains(qs, t.q2)))"
-    candidates = materialize(
-        lists.join(small(tests, n_tests), "passage").where(F.expr(met)).select("doc_id", "passage", "diag"), "candidates"
-    )
+    met = "exists(tests, t -> array_contains(qs, t.q1) and (t.t2 is null or t.t2.rare and array_contains(qs, t.t2.q)))"
+    strong = lists.join(small(tests, n_tests), "passage").where(F.expr(met)).select("doc_id", "passage", "diag")
+    # A window with one rare term only: the list of the next one is long, so it is not fetched. Where the rare term
+    # stands, the index's part of that document tells if the next one stands at its offset.
+    weak = needs.where("not t2.rare").select(
+        "passage", F.col("t1.term").alias("term"), F.col("t1.q").alias("q1"), F.col("t2.q").alias("q2"), F.col("t2.term").alias("second")
+    ).distinct()
+    here = docs.select("doc_id", split_words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
+    checked = (
+        here.join(small(weak, weak.count()), "term")
+        .where(F.get("w", F.col("pos") - F.col("q1") + F.col("q2")) == F.col("second"))
+        .select("doc_id", "passage", (F.col("pos") - F.col("q1")).alias("diag"))
+    )
+    candidates = materialize(strong.unionByName(checked).distinct(), "candidates")
     # confirm whole windows with the other postings of the candidates' documents
     named = candidates.select("doc_id").distinct()
     n_named = named.count()
@@ -132,12 +144,12 @@ def _matches(postings: DataFrame, items: TestItems, slop: int, near_share: float
         .groupBy("doc_id")
         .agg(F.sort_array(F.collect_set(F.struct("pos", "term"))).alias("list"))
     )
-    placed = (
+    sought = (
         candidates.join(small(items.passages, items.n_passages), "passage")
         .groupBy(F.col("doc_id").alias("doc"))
         .agg(F.collect_list(F.struct("passage", "diag", "words", "size")).alias("cands"))
     )
-    both = rest.join(placed, F.col("doc_id").eqNullSafe(F.col("doc")))
+    both = rest.join(sought, F.col("doc_id").eqNullSafe(F.col("doc")))
     span = f"filter(list, x -> x.pos >= c.diag - {slop} and x.pos < c.diag + size(c.words) + {slop})"
     near = f"size(array_intersect(c.words, transform({span}, x -> x.term))) >= {near_share} * size(array_distinct(c.words))"
     on = "transform(filter(list, x -> x.pos >= c.diag and x.pos < c.diag + size(c.words) and c.words[x.pos - c.diag] = x.term), x -> x.pos)"
