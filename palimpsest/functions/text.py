@@ -32,11 +32,19 @@ def norms(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(folded, F.lit(rf"[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}']*"), F.lit(0)), lambda w: F.rtrim(w, F.lit("'")))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, although ``f`` uses it in loops."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def grams(tokens: Column, k: int = 5) -> Column:
     """All runs of ``k`` tokens as strings joined by spaces; none where there are fewer tokens."""
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, k), " "))
-    return F.when(n >= k, runs).otherwise(F.array().cast("array<string>"))
+
+    def runs(t: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (k - 1), F.lit(1))), lambda i: F.array_join(F.slice(t, i, k), " "))
+        return F.when(F.size(t) >= k, every).otherwise(F.array().cast("array<string>"))
+
+    return let(tokens, runs)
 
 
 def percent(part: Column, whole: Column) -> Column:
@@ -54,11 +62,15 @@ def heading_pattern() -> str:
 
 def mattr(tokens: Column, window: int = 40, step: int = 5) -> Column:
     """Moving-average type-token ratio."""
-    n = F.size(tokens)
-    starts = F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)), F.lit(step))
-    parts = F.transform(starts, lambda i: F.size(F.array_distinct(F.slice(tokens, i, window))) / F.lit(float(window)))
-    moving = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts)
-    return F.when(n == 0, 0.0).when(n <= window, F.size(F.array_distinct(tokens)) / n).otherwise(moving)
+
+    def ratio(t: Column) -> Column:
+        n = F.size(t)
+        starts = F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)), F.lit(step))
+        parts = F.transform(starts, lambda i: F.size(F.array_distinct(F.slice(t, i, window))) / F.lit(float(window)))
+        moving = let(parts, lambda p: F.aggregate(p, F.lit(0.0), lambda a, x: a + x) / F.size(p))
+        return F.when(n == 0, 0.0).when(n <= window, F.size(F.array_distinct(t)) / n).otherwise(moving)
+
+    return let(tokens, ratio)
 
 
 # ---- Python ----
