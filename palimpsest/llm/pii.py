@@ -116,16 +116,9 @@ def context_counts(docs: DataFrame, patterns: DataFrame, n_patterns: int) -> Dat
     """``pattern, total``: how often each of the given one- or two-word contexts stands before any token, over all texts."""
     words = docs.select(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+", -1), lambda w: w != "").alias("w"))
     at = words.select("w", F.posexplode("w").alias("k", "word")).where("k < size(w) - 1")
-    last = patterns.select(F.substring_index("pattern", " ", -1).alias("word"), "pattern").groupBy("word").agg(F.collect_list("pattern").alias("patterns"))
-    pair = F.expr("if(k > 0, concat(w[k - 1], ' ', word), '')")
-    met = at.join(small(last, n_patterns), "word").select("word", pair.alias("pair"), F.col("patterns"))
-    met = met.groupBy("word", "pair", "patterns").agg(F.count("*").alias("n"))
-    return (
-        met.select("word", "pair", "n", F.explode("patterns").alias("pattern"))
-        .where("pattern = word or pattern = pair")
-        .groupBy("pattern")
-        .agg(F.sum("n").alias("total"))
-    )
+    pair = F.expr("if(k > 0, concat(w[k - 1], ' ', word), null)")
+    both = at.select(F.explode(F.array("word", pair)).alias("pattern"))
+    return both.join(small(patterns, n_patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
 
 
 def discover(docs: DataFrame, found: DataFrame, support: int = 3, rounds: int = 3, confidence: float = 0.6) -> DataFrame:
