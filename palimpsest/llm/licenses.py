@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -28,21 +30,32 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0",
 }
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying)(\.[a-z]+)?$"
-_SPLIT = r"[^a-z0-9.]+|\.(?![0-9])"
+_SPLIT = "[^a-z0-9.]+"
 
 
 def terms(text: str) -> list[str]:
-    return [t for t in re.split(_SPLIT, text.lower()) if t]
+    """Lower-case runs of letters a-z, digits and dots; one dot at the end is no part of a term."""
+    return [t for t in (re.sub(r"[.]$", "", w) for w in re.split(_SPLIT, text.lower())) if t]
+
+
+def _runs(column: str) -> str:
+    return f"split(lower({column}), '{_SPLIT}', -1)"
 
 
 def _tokens(column: str) -> str:
-    return f"filter(split(lower({column}), '{_SPLIT.replace(chr(92), chr(92) * 2)}'), t -> t <> '')"
+    return f"filter(transform({_runs(column)}, w -> regexp_replace(w, '[.]$', '')), t -> t <> '')"
+
+
+def _either(words: list[str]) -> Column:
+    """Literal array of terms as they stand in a text: with and without a dot."""
+    return F.array(*(F.lit(v) for w in words or [""] for v in (w, w + ".")))
 
 
 def term_counts(files: DataFrame, vocabulary: list[str]) -> DataFrame:
     """``term, df``: number of files that hold each of the templates' terms, over all files."""
-    held = files.select(F.array_intersect(F.expr(_tokens("coalesce(text, '')")), F.array(*map(F.lit, vocabulary))).alias("t"))
-    return held.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    held = files.select(F.array_intersect(F.expr(_runs("coalesce(text, '')")), _either(vocabulary)).alias("t"))
+    bare = F.array_distinct(F.transform("t", lambda w: F.regexp_replace(w, "[.]$", "")))
+    return held.where("size(t) > 0").select(F.explode(bare).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
 
 
 def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.7) -> DataFrame:
@@ -78,11 +91,14 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     weights = F.broadcast(spark.createDataFrame(list(idf.items()) or [("", 0.0)], "term string, idf double"))
 
     lines = files.select(F.struct("path", *rest, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text__")).alias("row"), "path", "text")
-    parts = lines.select("row", F.explode(F.expr(
+    # A part that shares an anchor has it as a substring, and so has its file: a cheap test first
+    some = lambda column: reduce(or_, (F.lower(column).contains(a) for a in sorted(anchors)), F.lit(False))
+    parts = lines.where(some("text")).select("row", F.explode(F.expr(
         f"concat(transform(split(coalesce(text, ''), '\\n'), x -> named_struct('kind', 'header', 'part', x)),"
         f" if(coalesce(path, '') rlike '{LICENCE_FILE.replace(chr(92), chr(92) * 2)}', array(named_struct('kind', 'file', 'part', coalesce(text, ''))), array()))"
     )).alias("p"))
-    near = parts.select("row", "p.kind", F.expr(_tokens("p.part")).alias("t")).where(F.arrays_overlap("t", F.array(*map(F.lit, sorted(anchors) or [""]))))
+    near = parts.select("row", "p.kind", "p.part").where(some("part")).where(F.arrays_overlap(F.expr(_runs("part")), _either(sorted(anchors))))
+    near = near.select("row", "kind", F.expr(_tokens("part")).alias("t"))
     near = materialize(near.select("row", "kind", "t").distinct(), "parts").withColumn("n", F.monotonically_increasing_id())
     near = materialize(near, "numbered")
     bag = near.select("n", F.explode("t").alias("term")).groupBy("n", "term").agg(F.count("*").alias("tf"))
