@@ -14,10 +14,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, release
+from .common import materialize, read, short_batches, small
 
 BITS = 256
 GROUP = 1 << 20  # characters hashed at once
@@ -117,7 +117,7 @@ def with_next(docs: DataFrame) -> DataFrame:
 
     Null texts are empty; a null id comes first; ties of the id are ordered by a hash of the text. A single row is its own next one.
     """
-    keyed = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    keyed = short_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ranged = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     columns = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -186,18 +186,33 @@ def near_fingerprints(marks: DataFrame, queries: DataFrame, radius: int = 8) ->
     """
     digits = BITS // 4
     cuts = [round(k * digits / (radius + 1)) for k in range(radius + 2)]
+    bounds = list(zip(cuts, cuts[1:], strict=False))
 
     def tables(df: DataFrame, name: str) -> DataFrame:
-        words = [F.conv(F.substring("fingerprint", 1 + 8 * k, 8), 16, 10).cast("long").alias(f"{name}{k}") for k in range(digits // 8)]
-        blocks = F.array(*(F.substring("fingerprint", 1 + a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)))
-        one = df.select("fingerprint").distinct().select(F.col("fingerprint").alias(name), *words, blocks.alias(f"{name}_blocks"))
-        return one.select("*", F.posexplode(f"{name}_blocks").alias("table", "block"))
-
-    a, b = tables(queries, "q"), tables(marks, "m")
-    distance = sum((F.bit_count(F.col(f"q{k}").bitwiseXOR(F.col(f"m{k}"))) for k in range(digits // 8)), F.lit(0))
-    first = F.expr("not exists(sequence(0, table), k -> k < table and q_blocks[k] = m_blocks[k])")
-    joined = a.join(b, ["table", "block"]).where((F.col("q") != F.col("m")) & (distance <= radius) & first)
-    return joined.select(F.col("q").alias("fingerprint"), F.col("m").alias("other"), distance.alias("distance"))
+        blocks = F.array(*(F.substring("fingerprint", 1 + a, b - a) for a, b in bounds))
+        return df.select("fingerprint").distinct().select(F.col("fingerprint").alias(name), F.posexplode(blocks).alias("table", "block"))
+
+    def word(name: str, k: int) -> Column:
+        return F.conv(F.substring(name, 1 + 8 * k, 8), 16, 10).cast("long")
+
+    distinct = queries.select("fingerprint").distinct()
+    a, b = tables(distinct, "q"), tables(marks, "m")
+    distance = sum((F.bit_count(word("q", k).bitwiseXOR(word("m", k))) for k in range(digits // 8)), F.lit(0))
+    sooner = F.lit(False)
+    for k, (lo, hi) in enumerate(bounds):
+        sooner = sooner | (F.lit(k) < F.col("table")) & (F.substring("q", 1 + lo, hi - lo) == F.substring("m", 1 + lo, hi - lo))
+    joined = b.join(small(a, distinct.count() * len(bounds)), ["table", "block"])
+    joined = joined.where((F.col("q") != F.col("m")) & ~sooner).withColumn("distance", distance).where(F.col("distance") <= radius)
+    return joined.select(F.col("q").alias("fingerprint"), F.col("m").alias("other"), "distance")
+
+
+def near_counts(marks: DataFrame, queries: DataFrame, radius: int = 8) -> DataFrame:
+    """``fingerprint, n_near`` for the fingerprints of ``queries``: how many other documents have one within the radius. Equal fingerprints are found as one, and counted as many."""
+    sizes = marks.groupBy("fingerprint").agg(F.count("*").alias("c"))
+    found = near_fingerprints(sizes, queries, radius).join(sizes.withColumnRenamed("fingerprint", "other"), "other")
+    more = found.groupBy("fingerprint").agg(F.sum("c").alias("more"))
+    asked = sizes.join(queries.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    return asked.join(more, "fingerprint", "left").select("fingerprint", (F.col("c") - 1 + F.coalesce("more", F.lit(0))).alias("n_near"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,6 +106,8 @@ def test_simhash_search_finds_all_within_radius(spark):
     got = {(r.fingerprint, r.other, r.distance) for r in simhash.near_fingerprints(df, df.limit(40)).collect()}
     dist = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
     assert got == {(a, b, dist(a, b)) for a in set(marks[:40]) for b in set(marks) if a != b and dist(a, b) <= 8}
+    counts = {r.fingerprint: r.n_near for r in simhash.near_counts(df, df.limit(40)).collect()}
+    assert counts == {a: sum(dist(a, b) <= 8 for b in marks) - 1 for a in set(marks[:40])}
 
 
 # ---- packing ----
