@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, read, release, small
+from .common import UPPER, ascii_lower, materialize, read, release, small
 
 #: Short notices by licence. Fixed values; more can be given as a parameter.
 TEMPLATES = {
@@ -34,28 +34,36 @@ _SPLIT = "[^a-z0-9.]+"
 
 
 def terms(text: str) -> list[str]:
-    """Lower-case runs of letters a-z, digits and dots; one dot at the end is no part of a term."""
-    return [t for t in (re.sub(r"[.]$", "", w) for w in re.split(_SPLIT, text.lower())) if t]
+    """Runs of letters a-z (A-Z count as these), digits and dots; one dot at the end is no part of a term."""
+    low = text.translate(str.maketrans(UPPER, UPPER.lower()))
+    return [t for t in (re.sub(r"[.]$", "", w) for w in re.split(_SPLIT, low)) if t]
 
 
-def _runs(column: str) -> str:
-    return f"split(lower({column}), '{_SPLIT}', -1)"
+def _runs(text: Column) -> Column:
+    return F.split(ascii_lower(text), _SPLIT, -1)
 
 
-def _tokens(column: str) -> str:
-    return f"filter(transform({_runs(column)}, w -> regexp_replace(w, '[.]$', '')), t -> t <> '')"
+def _tokens(text: Column) -> Column:
+    return F.filter(F.transform(_runs(text), lambda w: F.regexp_replace(w, "[.]$", "")), lambda t: t != "")
 
 
-def _either(words: list[str]) -> Column:
-    """Literal array of terms as they stand in a text: with and without a dot."""
-    return F.array(*(F.lit(v) for w in words or [""] for v in (w, w + ".")))
+def _holds(text: Column, parts: list[str]) -> Column:
+    """Whether any of some substrings occurs, lower-casing once."""
+    return F.exists(F.array(ascii_lower(text)), lambda t: reduce(or_, (t.contains(p) for p in parts), F.lit(False)))
 
 
 def term_counts(files: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """``term, df``: number of files that hold each of the templates' terms, over all files."""
-    held = files.select(F.array_intersect(F.expr(_runs("coalesce(text, '')")), _either(vocabulary)).alias("t"))
-    bare = F.array_distinct(F.transform("t", lambda w: F.regexp_replace(w, "[.]$", "")))
-    return held.where("size(t) > 0").select(F.explode(bare).alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
+    """``term, df``: number of files that hold each of the templates' terms, over all files.
+
+    A file's words are joined with the vocabulary (its size is that of the templates) and grouped by file before anything is shuffled.
+    """
+    known = [(v, t) for t in vocabulary for v in (t, t + ".")]
+    if not known:
+        return files.sparkSession.createDataFrame([], "term string, df long")
+    numbered = files.select(F.monotonically_increasing_id().alias("file"), "text")
+    words = numbered.select("file", F.explode(_runs(F.col("text"))).alias("word"))
+    held = words.join(F.broadcast(files.sparkSession.createDataFrame(known, "word string, term string")), "word")
+    return held.groupBy("file", "term").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.7) -> DataFrame:
@@ -92,13 +100,14 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
 
     lines = files.select(F.struct("path", *rest, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text__")).alias("row"), "path", "text")
     # A part that shares an anchor has it as a substring, and so has its file: a cheap test first
-    some = lambda column: reduce(or_, (F.lower(column).contains(a) for a in sorted(anchors)), F.lit(False))
-    parts = lines.where(some("text")).select("row", F.explode(F.expr(
+    cues = sorted(anchors) or ["\0"]
+    parts = lines.where(_holds(F.col("text"), cues)).select("row", F.explode(F.expr(
         f"concat(transform(split(coalesce(text, ''), '\\n'), x -> named_struct('kind', 'header', 'part', x)),"
         f" if(coalesce(path, '') rlike '{LICENCE_FILE.replace(chr(92), chr(92) * 2)}', array(named_struct('kind', 'file', 'part', coalesce(text, ''))), array()))"
     )).alias("p"))
-    near = parts.select("row", "p.kind", "p.part").where(some("part")).where(F.arrays_overlap(F.expr(_runs("part")), _either(sorted(anchors))))
-    near = near.select("row", "kind", F.expr(_tokens("part")).alias("t"))
+    either = F.array(*(F.lit(v) for c in cues for v in (c, c + ".")))
+    near = parts.select("row", "p.kind", "p.part").where(_holds(F.col("part"), cues)).where(F.arrays_overlap(_runs(F.col("part")), either))
+    near = near.select("row", "kind", _tokens(F.col("part")).alias("t"))
     near = materialize(near.select("row", "kind", "t").distinct(), "parts").withColumn("n", F.monotonically_increasing_id())
     near = materialize(near, "numbered")
     bag = near.select("n", F.explode("t").alias("term")).groupBy("n", "term").agg(F.count("*").alias("tf"))
