@@ -8,7 +8,8 @@ probability 4e-6, whatever its distance.)
 
 Equal sets are one class from the start. Within a key's bucket, members are first compared with one centre each (links of
 near copies grow as their number, not its square), their components found and buckets that lie within one component
-dropped; only then are pairs across components compared, filtered by size and by a 64-bit sketch. Every link is confirmed on the full sets.
+dropped; only then are pairs across components compared, filtered by size and by a sketch of the signature. Members compared with the same centre are compared in blocks
+inside tasks, so a dense group of texts that are just not similar enough gives no table of its pairs. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -22,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, release, small
+from .common import drop_worker_caches, materialize, read, release, short_batches, small
 from .components import components
 from .simhash import _FOLD, _INV, _P, _mix
 
 GROUP = 1 << 20
+PLANES = 4
+SKETCH = [f"k{k}" for k in range(PLANES)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -79,9 +82,12 @@ class Signer:
         return out
 
     def sketches(self, sig: np.ndarray) -> np.ndarray:
-        bits = (sig[:, :64] & np.uint64(1)).astype(np.uint8)
-        bits = np.pad(bits, ((0, 0), (0, 64 - bits.shape[1])))
-        return np.packbits(bits, axis=1).view("<i8").ravel()
+        """Low bits of the first 64 positions, one row of 64 bits for each of ``PLANES`` bits."""
+        out = []
+        for k in range(PLANES):
+            bits = (sig[:, :64] >> np.uint64(k) & np.uint64(1)).astype(np.uint8)
+            out.append(np.packbits(np.pad(bits, ((0, 0), (0, 64 - bits.shape[1]))), axis=1).view("<i8").ravel())
+        return np.stack(out)
 
     def bucket_keys(self, sig: np.ndarray) -> np.ndarray:
         out = np.empty((len(sig), len(self.keys)), np.uint64)
@@ -94,27 +100,28 @@ class Signer:
 
 
 def sign(docs: DataFrame, shingle: int, chunks: int, width: int, errors: int) -> DataFrame:
-    """``doc_id, n`` (size of the set), ``d1, d2`` (digest of the set), ``sketch, keys`` per document."""
-    names = ["doc_id", "n", "d1", "d2", "sketch", "keys"]
+    """``doc_id, n`` (size of the set), ``d1, d2`` (digest of the set), ``k0..k3`` (sketch), ``keys`` per document."""
+    names = ["doc_id", "n", "d1", "d2", *SKETCH, "keys"]
 
     def signed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_caches()
         signer = Signer(chunks, width, errors)
 
         def batch_of(ids: list, sets: list[np.ndarray]) -> pa.RecordBatch:
             full = [s for s in sets if len(s)]
             have = np.array([len(s) > 0 for s in sets], bool)
-            digest, sketch = np.zeros((2, len(sets)), np.int64), np.zeros(len(sets), np.int64)
+            digest, sketch = np.zeros((2, len(sets)), np.int64), np.zeros((PLANES, len(sets)), np.int64)
             values, ends = np.zeros(0, np.int64), np.cumsum(have) * len(signer.keys)
             if full:
                 flat, at = np.concatenate(full), np.cumsum([0, *(len(s) for s in full[:-1])])
                 digest[0, have] = np.add.reduceat(_mix(flat + np.uint64(1)), at).view(np.int64)
                 digest[1, have] = np.add.reduceat(_mix(flat ^ _P), at).view(np.int64)
                 sig = signer.signatures(full)
-                sketch[have] = signer.sketches(sig)
+                sketch[:, have] = signer.sketches(sig)
                 values = signer.bucket_keys(sig).ravel()
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values))
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[0]), pa.array(digest[1]), pa.array(sketch), keys], names
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest[0]), pa.array(digest[1]), *map(pa.array, sketch), keys], names
             )
 
         for batch in batches:
@@ -129,11 +136,12 @@ def sign(docs: DataFrame, shingle: int, chunks: int, width: int, errors: int) ->
             if ids:
                 yield batch_of(ids, sets)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(signed, "doc_id long, n long, d1 long, d2 long, sketch long, keys array<long>")
+    return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(signed, "doc_id long, n long, d1 long, d2 long, " + "".join(f"{k} long, " for k in SKETCH) + "keys array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, n_ids: int, shingle: int) -> DataFrame:
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_caches()
         for batch in batches:
             ids, texts = batch["id"].to_pylist(), batch["text"].to_pylist()
             for at in range(0, len(ids), 256):
@@ -145,16 +153,83 @@ def _sets(docs: DataFrame, ids: DataFrame, n_ids: int, shingle: int) -> DataFram
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets have the similarity asked for, as a written table."""
-    pairs = materialize(pairs, "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    """Those of a written table of pairs ``a, b`` whose full sets have the similarity asked for, as a written table."""
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
     sets = materialize(_sets(docs, ids, ids.count(), shingle).dropDuplicates(["id"]), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
     found = pairs.join(left, "a").join(right, "b").where(100 * common >= percent * (F.size("sa") + F.size("sb") - common))
     links = materialize(found.select("a", "b"), "links")
-    release(pairs, sets)
+    release(sets, ids)
+    return links
+
+
+BLOCK = 256  # members of a home that are compared with as many others in one task
+
+
+def _compare(left: list[tuple], right: list[tuple], same: bool, percent: int, apart: int) -> list[tuple[int, int]]:
+    """Links between two blocks of members (id, label, n, sketch, set), from a product of their incidence matrices."""
+    ids, labels, n, *sketch = (np.array([m[k] for m in left]) for k in range(3 + PLANES))
+    ids2, labels2, n2, *sketch2 = (np.array([m[k] for m in right]) for k in range(3 + PLANES))
+    differ = np.bitwise_count(np.bitwise_or.reduce([a[:, None] ^ b[None] for a, b in zip(sketch, sketch2, strict=True)]).view(np.uint64))
+    wanted = (labels[:, None] != labels2[None]) & (100 * np.minimum(n[:, None], n2[None]) >= percent * np.maximum(n[:, None], n2[None])) & (differ <= apart)
+    if same:
+        wanted &= ids[:, None] > ids2[None]
+    if not wanted.any():
+        return []
+    flat = [np.concatenate([m[-1] for m in side]) for side in (left, right)]
+    who = [np.repeat(np.arange(len(side)), [len(m[-1]) for m in side]) for side in (left, right)]
+    both = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]))
+    common = np.zeros(wanted.shape)
+    for at in range(0, len(both), 8192):  # some columns at a time: bounded whatever the texts' length
+        part, made = both[at : at + 8192], []
+        for f, w, side in zip(flat, who, (left, right), strict=True):
+            place = np.minimum(np.searchsorted(part, f), len(part) - 1)
+            hit = part[place] == f
+            m = np.zeros((len(side), len(part)), np.float32)
+            m[w[hit], place[hit]] = 1
+            made.append(m)
+        common += made[0] @ made[1].T
+    linked = wanted & (100 * common >= percent * (n[:, None] + n2[None] - common))
+    return [(int(ids[i]), int(ids2[j])) for i, j in np.argwhere(linked)]
+
+
+def _within_homes(docs: DataFrame, members: DataFrame, shingle: int, percent: int, apart: int) -> DataFrame:
+    """Links between members of one home that are not yet in one component; ``members``: ``id, label, home, n`` and the sketch.
+
+    The component of most members is compared with the others, and these among themselves, block by block. A task holds two blocks, whatever the home's size, and returns links only.
+    """
+    members = materialize(members, "members")
+    sizes = members.groupBy("home", "label").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("home").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("total")).where("total > m.c")
+    plan = main.select("home", F.col("m.label").alias("main"), F.ceil(F.col("m.c") / BLOCK).cast("int").alias("nm"), F.ceil((F.col("total") - F.col("m.c")) / BLOCK).cast("int").alias("ns"))
+    placed = members.join(plan, "home").withColumn("h", F.xxhash64("id"))
+    inside = F.expr("pmod(h, if(label = main, nm, ns))")
+    placed = placed.withColumn("k", inside.cast("int"))
+    task = """if(label = main, transform(sequence(0, ns - 1), j -> named_struct('x', k, 'y', ns + j, 'side', 0)),
+        concat(transform(sequence(0, nm - 1), i -> named_struct('x', i, 'y', ns + k, 'side', 1)),
+               transform(sequence(0, ns - 1), j -> named_struct('x', -1 - least(j, k), 'y', greatest(j, k), 'side', if(j = k, 2, if(k < j, 0, 1))))))"""
+    ids = materialize(placed.select("id").distinct(), "ids")
+    sets = _sets(docs, ids, ids.count(), shingle).dropDuplicates(["id"])
+    rows = placed.join(sets, "id").select("home", "id", "label", "n", *SKETCH, "set", F.explode(F.expr(task)).alias("t"))
+    rows = rows.select("home", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.side").alias("side"), "id", "label", "n", *SKETCH, "set")
+
+    def run(group: pa.Table) -> pa.Table:
+        sides: dict[int, list[tuple]] = {0: [], 1: [], 2: []}
+        columns = [group[c].to_numpy() for c in ("side", "id", "label", "n", *SKETCH)]
+        for k, (side, *facts) in enumerate(zip(*(c.tolist() for c in columns), strict=True)):
+            sides[side].append((*facts, np.asarray(group["set"][k].values)))
+        if sides[2]:
+            found = _compare(sides[2], sides[2], True, percent, apart)
+        elif sides[0] and sides[1]:
+            found = _compare(sides[0], sides[1], False, percent, apart)
+        else:
+            found = []
+        return pa.table({"a": pa.array([max(p) for p in found], pa.int64()), "b": pa.array([min(p) for p in found], pa.int64())})
+
+    links = materialize(rows.groupBy("home", "x", "y").applyInArrow(run, "a long, b long"), "inner")
+    release(members, ids)
     return links
 
 
@@ -172,19 +247,20 @@ def near_duplicates(
     signed = materialize(sign(docs, shingle, chunks, width, errors), "signed")
     real = signed.where("n > 0 and doc_id is not null")
     classes = materialize(
-        real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "classes"
+        real.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("id"), *(F.first(k).alias(k) for k in SKETCH), F.first("keys").alias("keys")), "classes"
     )
     rows = classes.select("id", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     rows = materialize(rows.join(shared, "key", "left_semi"), "buckets")
-    facts = materialize(classes.select("id", "n", "sketch"), "facts")
-    share = (100 - percent) / 200
-    apart = min(64, ceil(64 * share + 5.8 * sqrt(64 * share * (1 - share))))
-    near = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and bit_count(ka ^ kb) <= {apart}"
-    fa = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-    fb = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-
-    labels = None  # id, label of the classes linked so far
+    facts = materialize(classes.select("id", "n", *SKETCH), "facts")
+    # positions of the sketch that differ, at the threshold: five standard deviations above the mean are let through
+    share = (100 - percent) / 100 * (1 - 0.5**PLANES)
+    apart = min(64, ceil(64 * share + 5 * sqrt(64 * share * (1 - share))))
+    near = f"100 * least(na, nb) >= {percent} * greatest(na, nb) and bit_count({' | '.join(f'(a{k} ^ b{k})' for k in SKETCH)}) <= {apart}"
+    fa = facts.select(F.col("id").alias("a"), F.col("n").alias("na"), *(F.col(k).alias(f"a{k}") for k in SKETCH))
+    fb = facts.select(F.col("id").alias("b"), F.col("n").alias("nb"), *(F.col(k).alias(f"b{k}") for k in SKETCH))
+
+    labels = homes = None  # id, label of the classes linked so far; id, home: a centre each one was compared with
     for star in range(stars + 1):
         if labels is None:
             held = rows.select("key", "id", F.col("id").alias("label"))
@@ -195,13 +271,25 @@ def near_duplicates(
         if star < stars:
             centre = held.groupBy("key").agg(F.min(F.struct("label", "id")).alias("c")).select("key", F.col("c.id").alias("b"), F.col("c.label").alias("to"))
             pairs = held.join(centre, "key").where("label <> to").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-            pairs = pairs.join(fa, "a").join(fb, "b").where(near).select("a", "b")
+            pairs = materialize(pairs.join(fa, "a").join(fb, "b").where(near).select("a", "b"), "pairs")
+            links = _confirmed(docs, pairs, shingle, percent)
+            if homes is None:
+                nearest = pairs.groupBy("a").agg(F.min("b").alias("b"))
+                above = nearest.select(F.col("a").alias("b"), F.col("b").alias("c"))
+                homes = materialize(nearest.join(above, "b", "left").select(F.col("a").alias("id"), F.coalesce("c", "b").alias("home")), "homes")
+            release(pairs)
         else:
-            known = held.join(facts, "id")
-            one = known.select("key", F.col("id").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
-            two = known.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
-            pairs = one.join(two, "key").where(f"a > b and la <> lb and {near}").select("a", "b").distinct()
-        links = _confirmed(docs, pairs, shingle, percent)
+            shared = held.groupBy("id").agg(F.collect_list("key").alias("keys"))  # a document has as many keys as the signer at most
+            known = held.join(facts, "id").join(shared, "id").join(homes, "id", "left").withColumn("home", F.coalesce("home", "id"))
+            one = known.select("key", *(F.col(c).alias(d) for c, d in (("id", "a"), ("label", "la"), ("n", "na"), ("home", "ha"), ("keys", "sa"))), *(F.col(k).alias(f"a{k}") for k in SKETCH))
+            two = known.select("key", *(F.col(c).alias(d) for c, d in (("id", "b"), ("label", "lb"), ("n", "nb"), ("home", "hb"), ("keys", "sb"))), *(F.col(k).alias(f"b{k}") for k in SKETCH))
+            first = "array_min(array_intersect(sa, sb)) = key"  # of the buckets that two documents share, one gives the pair
+            apart_pairs = one.join(two, "key").where(f"a > b and la <> lb and ha <> hb and {near} and {first}").select("a", "b")
+            apart_pairs = materialize(apart_pairs, "pairs")
+            links = _confirmed(docs, apart_pairs, shingle, percent)
+            inner = _within_homes(docs, known.select("id", "label", "home", "n", *SKETCH).distinct(), shingle, percent, apart)
+            links = links.unionByName(inner)
+            release(apart_pairs)
         if labels is not None:
             old = labels
             ends = links.join(old.select(F.col("id").alias("a"), F.col("label").alias("la")), "a", "left").join(
