@@ -12,6 +12,7 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -70,6 +71,18 @@ def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+#: Caches that Python workers keep between tasks, as workers are used again.
+WORKER_CACHES: list[dict] = []
+
+
+def drop_worker_caches() -> None:
+    """Frees what another operator's tasks have left in this worker."""
+    for cache in WORKER_CACHES:
+        if cache:
+            cache.clear()
+            gc.collect()
+
+
 def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint behind a check of the size; without it the join shuffles."""
     return F.broadcast(df) if rows <= limit else df

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read
+from .common import drop_worker_caches, read, short_batches
 
 #: n-gram length: (size of its block of presence bits, multiplier of its hash)
 BLOCKS = {1: (256, 1), 2: (4096, 40503), 3: (8192, 2654435761)}
@@ -106,7 +106,7 @@ def fit(docs: DataFrame, sample_per_lang: int = 400, landmarks_per_lang: int = 4
                     out.append((lang, np.packbits(row).tobytes()))
             yield pd.DataFrame(out, columns=["lang", "bits"])
 
-    got = texts.select("lang", "text").mapInPandas(bits, "lang string, bits binary").collect()
+    got = short_batches(texts).select("lang", "text").mapInPandas(bits, "lang string, bits binary").collect()
     got.sort(key=lambda r: (r.lang, bytes(r.bits)))
     if not got:
         return Model([], np.zeros((0, SIZE // 8), np.uint8), np.zeros((0, 0), np.float32))
@@ -121,27 +121,26 @@ def predict(docs: DataFrame, model: Model, keep: list[str], batch_rows: int = 25
     Texts that are null or have no letter are ``und`` with score 0, and so is every text if nothing was learned. Ties go to the first language by name.
     Whole texts count, whatever their length. Repeated rows get a result each; an empty table gives no rows.
     """
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
-
-    def scored(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        drop_worker_caches()
         marks = np.unpackbits(model.landmarks, axis=1, count=SIZE).astype(np.float32) if model.langs else None
         for whole in batches:
-            for at in range(0, len(whole), batch_rows):
-                batch = whole.iloc[at : at + batch_rows]
-                lang, score = np.full(len(batch), UNKNOWN, object), np.zeros(len(batch))
-                known = [k for k, t in enumerate(batch["text__"]) if t and _LETTER.search(t)] if model.langs else []
-                if known:
-                    rows = np.zeros((len(known), SIZE), np.float32)
-                    for row, k in zip(rows, known, strict=True):
-                        presence(batch["text__"].iat[k], row)
-                    value = kernel(rows, marks) @ model.weights
-                    best = value.argmax(1)
-                    soft = np.exp(4 * (value - value.max(1, keepdims=True)))
-                    lang[known] = np.array(model.langs, object)[best]
-                    score[known] = 1 / soft.sum(1)
-                yield batch[keep].assign(lang_pred=lang, score=score)
-
-    return docs.select(*keep, F.col("text").alias("text__")).mapInPandas(scored, f"{schema}, lang_pred string, score double")
+            lang, score = np.full(len(whole), UNKNOWN, object), np.zeros(len(whole))
+            known = [k for k, t in enumerate(whole) if t and _LETTER.search(t)] if model.langs else []
+            for at in range(0, len(known), batch_rows):
+                some = known[at : at + batch_rows]
+                rows = np.zeros((len(some), SIZE), np.float32)
+                for row, k in zip(rows, some, strict=True):
+                    presence(whole.iat[k], row)
+                value = kernel(rows, marks) @ model.weights
+                soft = np.exp(4 * (value - value.max(1, keepdims=True)))
+                lang[some] = np.array(model.langs, object)[value.argmax(1)]
+                score[some] = 1 / soft.sum(1)
+            yield pd.DataFrame({"lang_pred": lang, "score": score})
+
+    # Only the texts go to Python. Not deterministic to the planner, so that a filter on the result does not run it twice.
+    run = F.pandas_udf(scored, "lang_pred string, score double").asNondeterministic()
+    return short_batches(docs).select(*keep, run("text").alias("scored__")).select(*keep, "scored__.lang_pred", "scored__.score")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, release, small
+from .common import drop_worker_caches, materialize, read, release, small
 
 
 def _patience(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int, out: list[tuple[int, int]]) -> None:
@@ -114,6 +114,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 8, line_words: int = 4, rar
 
     @F.pandas_udf("array<int>")
     def dropped(early: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        drop_worker_caches()
         for a, b, words in early:
             out = []
             for x, y, w in zip(a, b, words, strict=True):

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, short_batches, WORKER_CACHES
 
 CAPACITY, END_ID = 4096, 2
 GROUP = 1 << 16  # characters tokenized together: their words stay in the processor's caches
@@ -42,7 +42,7 @@ class WordTokenizer:
     chunks repeat; only new pieces go through the tokenizer, many at a time.
     """
 
-    def __init__(self, path: str, keep: int = 1_200_000) -> None:
+    def __init__(self, path: str, keep: int = 300_000) -> None:
         import regex
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -104,6 +104,7 @@ class WordTokenizer:
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
+WORKER_CACHES.append(_tokenizers)
 
 
 def tokenizer(path: str) -> WordTokenizer:
@@ -250,7 +251,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
         if got := list(rows(packer.finish())):
             yield frame(got)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(packed, SCHEMA)
+    return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(packed, SCHEMA)
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read
+from .common import read, short_batches
 from .langid import folds
 
 TAPS, FILTERS, STRIDE = 6, 16, 2
@@ -154,7 +154,7 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
             p = [0.5 if net is None else probability(net, t or "") for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": p})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(scored, "doc_id long, score double")
+    return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(scored, "doc_id long, score double")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
