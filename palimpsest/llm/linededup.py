@@ -2,9 +2,10 @@
 
 Overlapping documents are found through shared line hashes. Of a line that several documents hold, the earliest holder
 (smallest id) is the partner of all others, so candidates grow with the lines, not with the square of a line's holders,
-however frequent the line is. A pair is aligned if a line they share is rare, or if most of the later document is shared. Alignment is patience diff: lines that are
+however frequent the line is. Every pair is aligned. Alignment is patience diff: lines that are
 unique in both documents, in longest increasing order, are anchors; gaps between anchors are aligned in turn. Aligned common blocks
-are deleted from the later document; the earliest holder of a line never loses it.
+are deleted from the later document; the earliest holder of a line never loses it. Only a line that stands alone in its block, and that
+most documents hold, is no overlap, unless the pair has a rarer line in common or most of the later document is shared.
 """
 
 from __future__ import annotations
@@ -92,11 +93,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, min_words: int = 8, line_words: int = 4, rare: int = 50, share: float = 0.5) -> DataFrame:
+def repeated_lines(docs: DataFrame, min_words: int = 8, line_words: int = 4, rare: int = 50, share: float = 0.5, most: float = 0.5) -> DataFrame:
     """``doc_id, drop``: numbers of the lines that an earlier document has in an aligned block of at least ``min_words`` words.
 
-    Lines of at least ``line_words`` words make candidates. A pair is aligned if at most ``rare`` documents hold one of the lines
-    they share, or if the shared lines have at least ``share`` of the later document's words; the words of a frequent line alone are no overlap.
+    Lines of at least ``line_words`` words make candidates, and every candidate is aligned. The words of a frequent line alone are no overlap: blocks of
+    one line do not count where more than ``rare`` documents and more than ``most`` of all documents hold each line that the pair shares, and
+    the shared lines have less than ``share`` of the later document's words.
     """
     table = materialize(lines_of(docs), "lines")
     held = table.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("l"))
@@ -107,27 +109,29 @@ def repeated_lines(docs: DataFrame, min_words: int = 8, line_words: int = 4, rar
     pairs = (
         held.join(first, "h").where("doc_id <> early").groupBy("doc_id", "early").agg(F.min("df").alias("df"), F.sum("w").alias("w"))
     )
-    pairs = pairs.join(sizes, "doc_id").where((F.col("df") <= rare) | (F.col("w") >= share * F.col("total"))).select("doc_id", "early")
-    pairs = materialize(pairs.distinct(), "pairs")
+    frequent = (F.col("df") > rare) & (F.col("df") > most * table.count())
+    alone = ~frequent | (F.col("w") >= share * F.col("total"))  # whether a block of one line counts
+    pairs = pairs.join(sizes, "doc_id").groupBy("doc_id", "early").agg(F.max(alone).alias("alone"))
+    pairs = materialize(pairs, "pairs")
     one = table.dropDuplicates(["doc_id"])
     both = pairs.join(one, "doc_id").join(one.select(F.col("doc_id").alias("early"), F.col("hashes").alias("early_hashes")), "early")
 
     @F.pandas_udf("array<int>")
-    def dropped(early: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def dropped(early: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         drop_worker_caches()
-        for a, b, words in early:
+        for a, b, words, alone in early:
             out = []
-            for x, y, w in zip(a, b, words, strict=True):
+            for x, y, w, one_line in zip(a, b, words, alone, strict=True):
                 w = np.asarray(w)
                 y = list(y)
                 gone = []
                 for s, e in aligned_blocks(list(x), y):
-                    if w[s:e].sum() >= min_words:
+                    if w[s:e].sum() >= min_words and (one_line or np.count_nonzero(w[s:e]) > 1):
                         gone += range(s, e)
                 out.append([k for k in gone if y[k] != 0])
             yield pd.Series(out)
 
-    found = both.select("doc_id", dropped("early_hashes", "hashes", "words").alias("d")).where("size(d) > 0")
+    found = both.select("doc_id", dropped("early_hashes", "hashes", "words", "alone").alias("d")).where("size(d) > 0")
     out = materialize(found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("d")))).alias("drop")), "drop")
     release(table, pairs)
     return out

@@ -284,6 +284,15 @@ def test_line_dedup(spark):
     assert all(got[100 + k].n_dropped == 0 for k in range(80))  # a frequent line alone is no overlap
 
 
+def test_line_dedup_of_passages_that_many_documents_hold(spark):
+    rng = random.Random(13)
+    passage, line = [sentence(rng, 30) for _ in range(2)], sentence(rng, 9)
+    own = lambda: "\n".join(sentence(rng, 40) for _ in range(4))
+    docs = [(k, "\n".join([own(), *passage, own()])) for k in range(70)] + [(100 + k, f"{own()}\n{line}\n{own()}") for k in range(60)]
+    got = {r.doc_id: r.n_dropped for r in linededup.dedup_lines(docs_of(spark, docs)).collect()}
+    assert got == {k: 2 * (k > 0) for k in range(70)} | {100 + k: int(k > 0) for k in range(60)}
+
+
 def test_patience_alignment_is_a_common_subsequence():
     rng = random.Random(12)
     for _ in range(1500):
