@@ -1,6 +1,6 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through shared line hashes. Of a line that several documents hold, the earliest holder
+Overlapping documents are found through shared hashes of lines, of runs of lines and of whole documents. Of a line or run that several documents hold, the earliest holder
 (smallest id) is the partner of all others, so candidates grow with the lines, not with the square of a line's holders,
 however frequent the line is. Every pair is aligned. Alignment is patience diff: lines that are
 unique in both documents, in longest increasing order, are anchors; gaps between anchors are aligned in turn. Aligned common blocks
@@ -93,17 +93,62 @@ def lines_of(docs: DataFrame) -> DataFrame:
     )
 
 
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _run_hashes(hashes: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
+    """Hashes of the runs of a document that :func:`_runs_of` names; equal lines in equal order have equal hashes wherever they stand."""
+    n = len(hashes)
+    if n < 2:
+        return np.zeros(0, "int64")
+    h, sums = np.asarray(hashes, "int64").astype("uint64"), np.concatenate([[0], np.cumsum(words)])
+    powers, back = (np.cumprod(np.array([1] + [x] * (n - 1), "uint64")) for x in (_BASE, _INVERSE))
+    upto = np.concatenate([np.zeros(1, "uint64"), np.cumsum(h * powers)])
+    starts = np.flatnonzero(h)
+    ends = np.searchsorted(sums, sums[starts] + min_words)
+    some = (ends > starts + 1) & (ends <= n)
+    pairs = [(starts[some], ends[some])]
+    size = 2
+    while size <= n:
+        at = starts[starts + size <= n]
+        pairs.append((at, at + size))
+        size *= 2
+    pairs.append((np.array([0]), np.array([n])))
+    s, e = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    enough = sums[e] - sums[s] >= min_words
+    s, e = s[enough], e[enough]
+    run = (upto[e] - upto[s]) * back[s] + (e - s).astype("uint64") * np.uint64(_BASE)
+    return np.unique((run ^ (run >> np.uint64(29))) * np.uint64(_INVERSE)).astype("int64")
+
+
+def _runs_of(table: DataFrame, min_words: int) -> DataFrame:
+    """``doc_id, h`` of runs of adjacent lines with at least ``min_words`` words: from each line the shortest, runs of 2, 4, 8 ... lines, and the whole document.
+
+    Every aligned block of several lines that reaches ``min_words`` has the shortest run from its first line that is not blank.
+    """
+
+    @F.pandas_udf("array<long>")
+    def runs(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        drop_worker_caches()
+        for hashes, words in rows:
+            yield pd.Series([_run_hashes(h, w, min_words) for h, w in zip(hashes, words, strict=True)])
+
+    return table.select("doc_id", F.explode(runs("hashes", "words")).alias("h"))
+
+
 def repeated_lines(docs: DataFrame, min_words: int = 8, line_words: int = 4, rare: int = 50, share: float = 0.5, most: float = 0.5) -> DataFrame:
     """``doc_id, drop``: numbers of the lines that an earlier document has in an aligned block of at least ``min_words`` words.
 
-    Lines of at least ``line_words`` words make candidates, and every candidate is aligned. The words of a frequent line alone are no overlap: blocks of
-    one line do not count where more than ``rare`` documents and more than ``most`` of all documents hold each line that the pair shares, and
+    Lines of at least ``line_words`` words, runs of lines and whole documents make candidates, and every candidate is aligned. The words of a frequent line alone are no overlap: blocks of
+    one line do not count where more than ``rare`` documents and more than ``most`` of all documents hold each line and run that make the pair, and
     the shared lines have less than ``share`` of the later document's words.
     """
     table = materialize(lines_of(docs), "lines")
     held = table.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("l"))
     held = held.select("doc_id", F.col("l.hashes").alias("h"), F.col("l.words").alias("w")).where(f"w >= {line_words}")
-    held = held.groupBy("doc_id", "h").agg(F.sum("w").alias("w"))
+    held = held.unionByName(_runs_of(table.where("doc_id is not null"), min_words).withColumn("w", F.lit(0)))
+    held = materialize(held.groupBy("doc_id", "h").agg(F.sum("w").alias("w")), "held")
     first = held.groupBy("h").agg(F.min("doc_id").alias("early"), F.count("*").alias("df")).where("df > 1")
     sizes = table.select("doc_id", F.expr("aggregate(words, 0, (a, x) -> a + x)").alias("total"))
     pairs = (
@@ -133,7 +178,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 8, line_words: int = 4, rar
 
     found = both.select("doc_id", dropped("early_hashes", "hashes", "words", "alone").alias("d")).where("size(d) > 0")
     out = materialize(found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("d")))).alias("drop")), "drop")
-    release(table, pairs)
+    release(table, held, pairs)
     return out
 
 

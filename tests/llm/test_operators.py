@@ -293,6 +293,28 @@ def test_line_dedup_of_passages_that_many_documents_hold(spark):
     assert got == {k: 2 * (k > 0) for k in range(70)} | {100 + k: int(k > 0) for k in range(60)}
 
 
+def test_run_hashes_do_not_depend_on_the_place():
+    rng = np.random.default_rng(15)
+    h = rng.integers(-(2**63), 2**63 - 1, 300)
+    full = linededup._run_hashes(h, np.full(300, 5), 8)
+    assert len(full) == 299 + 297 + 293 + 285 + 269 + 237 + 173 + 45 + 1
+    for s in range(0, 290, 7):
+        assert set(linededup._run_hashes(h[s : s + 8], np.full(8, 5), 8)) <= set(full)
+        assert not set(linededup._run_hashes(h[s : s + 8][::-1], np.full(8, 5), 8)) & set(full)
+
+
+def test_line_dedup_finds_copies_and_blocks_behind_other_holders(spark):
+    rng = random.Random(14)
+    x, y, a, b, z = (sentence(rng, n) for n in (12, 12, 5, 5, 60))
+    own = lambda: sentence(rng, 40)
+    docs = [(1, f"{x}\n{y}"), (2, f"{y}\n{x}"), (3, f"{y}\n{x}"), (11, f"{a}\n{own()}"), (12, f"{b}\n{own()}"), (13, f"{own()}\n{a}\n{b}"), (14, f"{own()}\n{a}\n{b}\n{own()}")]
+    short = ["un do", "tri kat", "pen", "sis sep ok non"]
+    docs += [(21, "\n".join([own(), *short, own()])), (22, "\n".join([z, *short]))]
+    got = {r.doc_id: r for r in linededup.dedup_lines(docs_of(spark, docs)).collect()}
+    assert got[2].n_dropped == 1 and got[3].n_dropped == 2 and got[13].n_dropped == 0 and got[14].n_dropped == 2
+    assert got[21].n_dropped == 0 and got[22].text == z
+
+
 def test_patience_alignment_is_a_common_subsequence():
     rng = random.Random(12)
     for _ in range(1500):
