@@ -1,7 +1,7 @@
 """Licence scans (DataFrame and SQL functions only).
 
 Lines of files (headers) and whole licence files are compared with templates by the cosine of sparse TF-IDF
-vectors. A directory whose licence file is recognised passes its licence on: a file without a
+vectors: lines with short notices, licence files with these and with full licence texts, their first lines with titles. A directory whose licence file is recognised passes its licence on: a file without a
 licence of its own takes that of its nearest ancestor directory, found by joins on paths.
 """
 
@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import reduce
+from importlib import resources
 from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,28 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0",
 }
+TITLES = {
+    "AGPL-3.0": "GNU Affero General Public License Version 3, 19 November 2007",
+    "Apache-2.0": "Apache License Version 2.0, January 2004",
+    "BSD-2-Clause": "BSD 2-Clause License",
+    "BSD-3-Clause": "BSD 3-Clause License",
+    "CC-BY-4.0": "Creative Commons Attribution 4.0 International",
+    "CC-BY-NC-4.0": "Creative Commons Attribution-NonCommercial 4.0 International",
+    "CC-BY-NC-ND-4.0": "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International",
+    "CC-BY-NC-SA-4.0": "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International",
+    "CC-BY-ND-4.0": "Creative Commons Attribution-NoDerivatives 4.0 International",
+    "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0 International",
+    "CC0-1.0": "CC0 1.0 Universal",
+    "GPL-2.0": "GNU General Public License Version 2, June 1991",
+    "GPL-3.0": "GNU General Public License Version 3, 29 June 2007",
+    "LGPL-2.1": "GNU Lesser General Public License Version 2.1, February 1999",
+    "LGPL-3.0": "GNU Lesser General Public License Version 3, 29 June 2007",
+    "MIT": "MIT License",
+    "MPL-1.1": "Mozilla Public License Version 1.1",
+    "MPL-2.0": "Mozilla Public License Version 2.0",
+}
+#: Lines at the head of a licence file, blank ones left out, that may make up its title.
+TITLE_LINES = 3
 LICENCE_FILE = r"(?i)(^|/)(licen[cs]e|copying)(\.[a-z]+)?$"
 _SPLIT = "[^a-z0-9.]+"
 
@@ -39,6 +63,19 @@ def terms(text: str) -> list[str]:
     return [t for t in (re.sub(r"[.]$", "", w) for w in re.split(_SPLIT, low)) if t]
 
 
+def full_texts() -> dict[str, str]:
+    """Full licence texts by licence, from the files beside this module."""
+    return {p.name.removesuffix(".txt"): p.read_text("utf-8") for p in (resources.files(__package__) / "licence_texts").iterdir() if p.name.endswith(".txt")}
+
+
+def _vector(text: str, idf: dict[str, float]) -> dict[str, float]:
+    """A template's terms with their weights, of length 1."""
+    own = Counter(terms(text))
+    weight = {t: k * idf[t] for t, k in own.items()}
+    norm = math.sqrt(sum(w * w for w in weight.values()))
+    return {t: w / norm for t, w in weight.items()}
+
+
 def _runs(text: Column) -> Column:
     return F.split(ascii_lower(text), _SPLIT, -1)
 
@@ -66,33 +103,65 @@ def term_counts(files: DataFrame, vocabulary: list[str]) -> DataFrame:
     return held.groupBy("file", "term").agg(F.lit(1)).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.7) -> DataFrame:
+def _licence_files(lines: DataFrame, idf: dict[str, float], unseen: float, texts: dict[str, str], titles: dict[str, str], threshold: float) -> DataFrame:
+    """``row, licence, score, kind`` of licence files: whole files against full texts (``file``), their first lines, joined, against titles (``header``)."""
+    spark = lines.sparkSession
+    model = [(kind, name, t, w) for kind, given in (("file", texts), ("header", titles)) for name, text in given.items() for t, w in _vector(text, idf).items()]
+    model = F.broadcast(spark.createDataFrame(model, "kind string, licence string, term string, tw double"))
+    weights = F.broadcast(spark.createDataFrame(list(idf.items()), "term string, idf double"))
+    named = lines.where(F.col("path").rlike(LICENCE_FILE) & F.col("text").isNotNull()).select("row", "text")
+    first = f"slice(filter(split(text, '\\n'), x -> trim(BOTH ' \t\r' FROM x) <> ''), 1, {TITLE_LINES})"
+    named = named.withColumn("first", F.expr(first))
+    parts = named.select("row", F.explode(F.expr(
+        "concat(array(named_struct('kind', 'file', 'part', text)),"
+        " transform(sequence(1, greatest(size(first), 1)), k -> named_struct('kind', 'header', 'part', array_join(slice(first, 1, k), ' '))))"
+    )).alias("p")).select("row", "p.kind", "p.part").distinct()
+    parts = parts.withColumn("n", F.xxhash64("row", "kind", "part"))
+    # a cosine is at most the length of the template's vector over the terms shared: only parts that can reach the threshold are weighed in full
+    shared = parts.select("n", "kind", F.explode(F.array_distinct(_tokens(F.col("part")))).alias("term")).join(model, ["kind", "term"])
+    able = shared.groupBy("n", "licence").agg(F.sum(F.col("tw") * F.col("tw")).alias("s")).where(F.col("s") >= threshold * threshold - 1e-6).select("n").distinct()
+    able = materialize(parts.join(able, "n", "left_semi"), "able")
+    bag = able.select("n", "kind", F.explode(_tokens(F.col("part"))).alias("term")).groupBy("n", "kind", "term").agg(F.count("*").alias("tf"))
+    bag = bag.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(unseen)))
+    norms = bag.groupBy("n").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = bag.join(model, ["kind", "term"]).groupBy("n", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dots.join(norms, "n").select("n", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    return scored.join(able.select("n", "row", "kind"), "n").select("row", "licence", "score", "kind")
+
+
+def scan(
+    files: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.7, texts: dict[str, str] | None = None, titles: dict[str, str] | None = None
+) -> DataFrame:
     """Licences of files: ``path, licence, score, found`` plus all other columns but ``text``.
 
-    ``files`` needs ``path`` and ``text``. ``found`` is ``file`` (a licence file as a whole), ``header`` (a line), ``inherited`` (``origin`` then names the directory) or ``none``.
+    ``files`` needs ``path`` and ``text``. ``found`` is ``file`` (a licence file as a whole), ``header`` (a line, or the title of a licence file), ``inherited`` (``origin`` then names the directory) or ``none``.
     Weights are the terms' counts times ln((1 + files) / (1 + files with the term)) + 1; a term of no template weighs as one that no file has.
     Ties of the score go to the template first by name; of several licence files in a directory the best score holds, then the shorter path, then the first name.
 
+    Lines and licence files are compared with ``templates``, licence files also with ``texts`` and their first lines with ``titles``, weighed by the terms of these two.
+    Without ``templates`` all three have default values; with them, full texts and titles are those given, if any.
+
     Null and empty texts have no licence of their own; a null path has no directory and inherits nothing; repeated rows get a result each; an empty table gives no rows.
     """
-    templates = TEMPLATES if templates is None else templates
+    if templates is None:
+        templates, texts, titles = TEMPLATES, full_texts() if texts is None else texts, TITLES if titles is None else titles
+    texts, titles = texts or {}, titles or {}
     spark = files.sparkSession
     rest = [c for c in files.columns if c not in ("path", "text")]
     files = files.select("path", "text", *rest)
     vocabulary = sorted({t for text in templates.values() for t in terms(text)})
-    counts = {r.term: r.df for r in term_counts(files, vocabulary).collect()}  # at most one row for each term of the templates
+    wider = sorted({t for text in (*texts.values(), *titles.values()) for t in terms(text)})
+    counts = {r.term: r.df for r in term_counts(files, sorted({*vocabulary, *wider})).collect()}  # at most one row for each term of the templates
     total = files.count()
-    idf = {t: math.log((1 + total) / (1 + counts.get(t, 0))) + 1 for t in vocabulary}
+    idf, wider_idf = ({t: math.log((1 + total) / (1 + counts.get(t, 0))) + 1 for t in known} for known in (vocabulary, wider))
     unseen = math.log(1 + total) + 1
     vectors, anchors = [], set()
     for name, text in templates.items():
-        own = terms(text)
-        weight = {t: own.count(t) * idf[t] for t in own}
-        norm = math.sqrt(sum(w * w for w in weight.values()))
-        vectors += [(name, t, w / norm) for t, w in weight.items()]
+        weight = _vector(text, idf)
+        vectors += [(name, t, w) for t, w in weight.items()]
         left = 0.0  # a text that shares only the terms left out here has a smaller cosine than the threshold
         for t, w in sorted(weight.items(), key=lambda x: (x[1], x[0])):
-            left += (w / norm) ** 2
+            left += w**2
             if math.sqrt(left) >= threshold:
                 anchors.add(t)
     model = spark.createDataFrame(vectors, "licence string, term string, tw double") if vectors else spark.createDataFrame([], "licence string, term string, tw double")
@@ -116,7 +185,10 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     dots = bag.join(F.broadcast(model), "term").groupBy("n", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
     scored = dots.join(norms, "n").select("n", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
     order = Window.partitionBy("row").orderBy(F.desc("score"), F.asc("licence"), F.asc("kind"))
-    own = scored.join(near.select("n", "row", "kind"), "n").withColumn("k", F.row_number().over(order)).where("k = 1").select("row", "licence", "score", "kind")
+    own = scored.join(near.select("n", "row", "kind"), "n").select("row", "licence", "score", "kind")
+    if wider:
+        own = own.unionByName(_licence_files(lines, wider_idf, unseen, texts, titles, threshold))
+    own = own.withColumn("k", F.row_number().over(order)).where("k = 1").select("row", "licence", "score", "kind")
     own = materialize(own, "own")
 
     directory = "case when {0} is null then null when instr({0}, '/') > 0 then substring_index({0}, '/', size(split({0}, '/')) - 1) else '' end"

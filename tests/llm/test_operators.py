@@ -161,6 +161,20 @@ def test_licences_by_line_file_and_directory(spark):
                            ("a/b/c/COPYING.txt", "GPL-3.0", "file", None), ("a/b/c/q.py", "GPL-3.0", "inherited", "a/b/c"), ("r.py", None, "none", None), (None, None, "none", None), ("aa/x.py", None, "none", None)])
 
 
+def test_real_licence_files_pass_their_licence_on(spark):
+    texts = licenses.full_texts()
+    wrap = lambda t: "\n".join(f"  {x}  " for x in t.split("\n"))
+    rows = [(f"{n}/LICENSE", wrap(t).replace("<year>", "2019").replace("<copyright holders>", "A. N. Author")) for n, t in texts.items()]
+    rows += [(f"{n}/sub/x.py", "print(1)") for n in texts]
+    heads = {"MIT": "MIT License\n\nCopyright 2020 Somebody", "GPL-3.0": "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\nof our project", "GPL-2.0": "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991",
+             "Apache-2.0": "   Apache License\n   Version 2.0, January 2004\n  http://www.apache.org/licenses/", "MPL-2.0": "Mozilla Public License Version 2.0\n====", "CC-BY-4.0": "Attribution 4.0 International"}
+    rows += [(f"t/{n}/LICENSE", t) for n, t in heads.items()] + [("n/LICENSE", "All rights reserved by the owner"), ("e/LICENSE", ""), ("f/LICENSE", None)]
+    got = {r.path: (r.licence, r.found) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    want = {f"{n}/LICENSE": n for n in texts} | {f"{n}/sub/x.py": n for n in texts} | {f"t/{n}/LICENSE": n for n in heads} | {f"{x}/LICENSE": None for x in "nef"}
+    assert {p: n for p, (n, _) in got.items()} == want
+    assert {p: f for p, (_, f) in got.items() if p.endswith("x.py")} == {f"{n}/sub/x.py": "inherited" for n in texts}
+
+
 def test_licence_scores_equal_brute_force(spark):
     rng = random.Random(7)
     lines = [" ".join(rng.sample(licenses.terms(t) + ["some", "other", "words"], rng.randrange(3, 8))) for t in licenses.TEMPLATES.values() for _ in range(12)]
