@@ -43,11 +43,11 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     items = read(spark, sf_dir, "benchmark")
     size = F.size(decontam.word_array(F.col("text")))
-    long = decontam.decontaminate(docs, items.where(size >= 8), min_items=1)
+    long = decontam.decontaminate(docs, items.where(size >= 8), min_items=1, near_share=None)
     found = long.where("contaminated").select("doc_id")
     short = items.where((size > 0) & (size < 8))
     if short.limit(1).count():
-        found = found.unionByName(decontam.decontaminate(docs, items, min_items=2).where("contaminated").select("doc_id"))
+        found = found.unionByName(decontam.decontaminate(docs, items, min_items=2, near_share=None).where("contaminated").select("doc_id"))
     return docs.select(*COLUMNS).join(found.distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 

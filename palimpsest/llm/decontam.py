@@ -68,7 +68,7 @@ def build_index(docs: DataFrame, items: TestItems) -> DataFrame:
     return materialize(words.join(small(vocabulary, items.n_terms), "term", "left_semi").select("doc_id", "pos", "term"), "postings")
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, slop: int = 4, near_share: float = 0.8) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, slop: int = 4, near_share: float | None = 0.8) -> DataFrame:
     """Exact phrase and proximity matches.
 
     ``docs``: ``doc_id, text``; ``benchmark``: ``item_id, text``. A window is ``window``
@@ -76,7 +76,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, slop: i
     Returns, per document with a candidate, ``doc_id, hits`` (sorted word positions inside any
     occurrence of a window; positions count from the first piece of the text),
     ``passages`` (those with an occurring window) and ``near`` (those of which at
-    least ``near_share`` of the distinct words lie within ``slop`` words of the aligned place, in any order).
+    least ``near_share`` of the distinct words lie, in any order, in a stretch of the text as long as the item and ``slop`` words on each side; none if ``near_share`` is None).
 
     Nulls: null and word-less texts have no words; a null ``doc_id`` or ``item_id`` is an id
     like any other. Rows sharing a ``doc_id`` are copies of one document. Repeated items count once per id.
@@ -85,7 +85,33 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, slop: i
     return _matches(docs, build_index(docs, items), items, slop, near_share)
 
 
-def _matches(docs: DataFrame, postings: DataFrame, items: TestItems, slop: int, near_share: float) -> DataFrame:
+def _proximity(postings: DataFrame, counts: DataFrame, items: TestItems, slop: int, near_share: float) -> DataFrame:
+    """``doc_id, near``: passages of which enough distinct words lie in one stretch of a document.
+
+    At most ``x`` of a passage's words may be missing, so of its ``r`` rarest words a document needs ``r - x``. Only for such documents are the other
+    postings read; as a position holds one word, a stretch has no more postings than positions, and checking is linear in the document.
+    """
+    words = items.passages.select("passage", (F.size("words") + 2 * slop).alias("span"), F.array_distinct("words").alias("words"))
+    words = words.withColumn("least", F.expr(f"int(ceil({near_share} * size(words)))"))
+    words = words.withColumn("r", F.expr("least(size(words), 2 * (size(words) - least) + 3)")).withColumn("need", F.expr("greatest(1, r - size(words) + least)"))
+    terms = words.select("passage", "span", "least", "r", "need", F.explode("words").alias("term")).join(small(counts, items.n_terms), "term", "left")
+    order = Window.partitionBy("passage").orderBy(F.coalesce("n", F.lit(0)), "term")
+    terms = materialize(terms.withColumn("rank", F.row_number().over(order)).drop("n"), "near-terms")
+    n_terms = terms.count()
+    rare = terms.where("rank <= r").select("passage", "need", "term")
+    held = postings.join(small(rare, n_terms), "term").groupBy("doc_id", "passage", "need").agg(F.size(F.collect_set("term")).alias("held"))
+    able = materialize(held.where("held >= need").select(F.col("doc_id").alias("doc"), "passage"), "able")
+    found = postings.join(small(able, able.count()), F.col("doc_id").eqNullSafe(F.col("doc")))
+    found = found.join(small(terms.select("passage", "term", "span", "least"), n_terms), ["passage", "term"])
+    found = found.groupBy("doc_id", "passage", "span", "least").agg(F.sort_array(F.collect_set(F.struct("pos", "term"))).alias("list"))
+    inside = "transform(filter(slice(list, i, span), x -> x.pos < list[i - 1].pos + span), x -> x.term)"
+    found = found.where("size(list) >= least").where(F.expr(f"exists(sequence(1, size(list)), i -> size(array_distinct({inside})) >= least)"))
+    out = materialize(found.groupBy("doc_id").agg(F.collect_set("passage").alias("near")), "near")
+    release(terms, able)
+    return out
+
+
+def _matches(docs: DataFrame, postings: DataFrame, items: TestItems, slop: int, near_share: float | None) -> DataFrame:
     # Windows whose terms all occur, with each term's rank by its count of postings
     counts = postings.groupBy("term").agg(F.count("*").alias("n"))
     windows = items.passages.select(
@@ -150,33 +176,35 @@ def _matches(docs: DataFrame, postings: DataFrame, items: TestItems, slop: int,
         .agg(F.collect_list(F.struct("passage", "diag", "words", "size")).alias("cands"))
     )
     both = rest.join(sought, F.col("doc_id").eqNullSafe(F.col("doc")))
-    span = f"filter(list, x -> x.pos >= c.diag - {slop} and x.pos < c.diag + size(c.words) + {slop})"
-    near = f"size(array_intersect(c.words, transform({span}, x -> x.term))) >= {near_share} * size(array_distinct(c.words))"
     on = "transform(filter(list, x -> x.pos >= c.diag and x.pos < c.diag + size(c.words) and c.words[x.pos - c.diag] = x.term), x -> x.pos)"
-    seen = f"transform(cands, c -> named_struct('passage', c.passage, 'size', c.size, 'near', {near}, 'on', {on}))"
+    seen = f"transform(cands, c -> named_struct('passage', c.passage, 'size', c.size, 'on', {on}))"
     run = "transform(filter(sequence(0, size(c.on) - c.size), i -> c.on[i + c.size - 1] - c.on[i] = c.size - 1), i -> sequence(c.on[i], c.on[i] + c.size - 1))"
-    hit = f"transform(seen, c -> named_struct('passage', c.passage, 'near', c.near, 'hits', if(size(c.on) < c.size, cast(array() as array<int>), array_distinct(flatten({run})))))"
+    hit = f"transform(seen, c -> named_struct('passage', c.passage, 'hits', if(size(c.on) < c.size, cast(array() as array<int>), array_distinct(flatten({run})))))"
     out = both.select("doc_id", F.expr(seen).alias("seen")).select("doc_id", F.expr(hit).alias("hit"))
     out = out.select(
         "doc_id",
         F.expr("array_sort(array_distinct(flatten(transform(hit, h -> h.hits))))").alias("hits"),
         F.expr("array_distinct(transform(filter(hit, h -> size(h.hits) > 0), h -> h.passage))").alias("passages"),
-        F.expr("array_distinct(transform(filter(hit, h -> h.near), h -> h.passage))").alias("near"),
+        F.expr("cast(array() as array<bigint>)").alias("near"),
     )
+    if near_share is not None:
+        close = _proximity(postings, counts, items, slop, near_share)
+        close = close.select("doc_id", F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<bigint>)").alias("passages"), "near")
+        out = out.unionByName(close).groupBy("doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "passages", "near")))
     out = materialize(out, "matches")
     out._members = items.members
     release(postings, candidates, needs)
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_items: int = 2, near_share: float | None = 0.8) -> DataFrame:
     """A row per document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near, items``.
 
     See :func:`find_matches` for the handling of nulls, ties and repeated rows. An empty
     test set gives zero counts; an empty ``docs`` gives no rows. ``n_near`` counts items with a proximity match.
     """
     docs = docs.select("doc_id", "text")
-    found = find_matches(docs, benchmark, window)
+    found = find_matches(docs, benchmark, window, near_share=near_share)
     members = found._members
     ids = (
         found.select("doc_id", F.explode("passages").alias("passage"))
@@ -188,7 +216,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
         found.select("doc_id", F.explode("near").alias("passage"))
         .join(members, "passage")
         .groupBy(F.col("doc_id").alias("d2"))
-        .agg(F.size(F.collect_set("item_id")).cast("long").alias("n_near"))
+        .agg(F.size(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("null")))).cast("long").alias("n_near"))
     )
     hits = found.where("size(hits) > 0 or size(near) > 0").select(F.col("doc_id").alias("d0"), F.size("hits").cast("long").alias("n_hit"))
     hits = hits.join(ids, F.col("d0").eqNullSafe(F.col("d1")), "left").join(near, F.col("d0").eqNullSafe(F.col("d2")), "left")
@@ -202,7 +230,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items", "n_near")
+    """The columns that the SQL has; :func:`op1_proximity` has the proximity matches besides."""
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), near_share=None).drop("items", "n_near")
+
+
+def op1_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("items")
 
 
 OP1_SQL = r"""

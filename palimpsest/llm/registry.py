@@ -1,7 +1,7 @@
 """Queries of the training-data operators and their SQL, as ``__spark_entry__`` registers them."""
 
 from .chat import op6_chat
-from .decontam import OP1_SQL, op1_decontaminate
+from .decontam import OP1_SQL, op1_decontaminate, op1_proximity
 from .langid import op8_langid
 from .licenses import op4_licenses
 from .linededup import op7_linededup
@@ -13,6 +13,7 @@ from .simhash import op2_simhash
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op1_proximity": op1_proximity,
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_licenses": op4_licenses,

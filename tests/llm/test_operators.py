@@ -75,6 +75,34 @@ def test_decontamination_proximity_and_repeated_rows(spark):
     assert sorted((r.doc_id, r.n_items, r.n_near) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 0, 0)]
 
 
+def test_proximity_equals_brute_force(spark):
+    rng = random.Random(3)
+    items = [(k, sentence(rng, 8 if k < 6 else 25)) for k in range(10)] + [(20, "the"), (21, None), (None, sentence(rng, 12))]
+    docs = []
+    for k, (_, it) in enumerate(items[:10]):
+        w = it.split()
+        swapped, inserted, replaced = list(w), [*w[:4], "zzz", *w[4:]], list(w)
+        swapped[1], swapped[6] = w[6], w[1]
+        for edit in range(8):
+            one = list(w)
+            one[edit] = "qqq"
+            docs.append((100 * k + edit, f"{sentence(rng, 20)} {' '.join(one)} {sentence(rng, 20)}"))
+        replaced[2] = replaced[5] = "qqq"
+        halves = [*w[: len(w) // 2], *["far"] * rng.randrange(12), *w[len(w) // 2 :]]
+        docs += [(100 * k + 20 + n, f"{sentence(rng, 9)} {' '.join(x)}") for n, x in enumerate((swapped, inserted, replaced, halves, rng.sample(w, len(w))))]
+    docs += [(5000, None), (5001, "the end"), (None, items[-1][1])]
+    got = decontam.decontaminate(docs_of(spark, docs), spark.createDataFrame(items, "item_id long, text string"))
+    want = {}
+    for doc, text in docs:
+        w, want[doc] = words8(text), 0
+        for _, it in items:
+            own = set(words8(it))
+            span = len(words8(it)) + 8
+            want[doc] += bool(own) and any(10 * len(own & set(w[a : a + span])) >= 8 * len(own) for a in range(len(w)))
+    assert {r.doc_id: r.n_near for r in got.collect()} == want
+    assert all(want[100 * k + e] >= 1 for k in range(10) for e in [*range(8), 20, 21, 24])
+
+
 # ---- fingerprints ----
 
 
