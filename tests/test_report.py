@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from palimpsest.functions import text as T
 from palimpsest.operators import authorship, report
 from palimpsest.operators.align import passages
@@ -64,3 +66,17 @@ def test_evaluation_and_smoothing(spark):
     table = spark.createDataFrame([("a", True, 30), ("a", True, 0), ("a", False, 0), ("b", False, 0)], "grp string, available boolean, percent int")
     got = {r.grp: r for r in authorship.evaluate(table).collect()}
     assert (got["a"].docs, got["a"].scored, got["a"].ge20, got["a"].mean) == (3, 2, 50.0, 15.0) and got["b"].ge20 is None
+
+
+def test_features_use_the_whole_lexicon(spark):
+    rows = [(k, r.text) for k, r in enumerate(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(40).collect())]
+    rows += [(None, rows[1][1]), (1, rows[1][1]), (90, None), (91, "It's the dog's and the cat's rareword that we don't know about in 12 more words here. " * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    few = {"the": 7.0, "it's": 0.0, "it": 6.2, "dog": 3.5, "rareword": 0.5} | {r.word: r.zipf for r in authorship.corpus_lexicon(docs.limit(20)).collect()}
+    filler = spark.range(200_001).select(F.concat(F.lit("filler"), "id").alias("word"), F.lit(9.0).alias("zipf"))
+    lexicon = filler.unionByName(spark.createDataFrame(list(few.items()), "word string, zipf double"))
+    got = sorted(((r.doc_id, r.win, list(r.dense)) for r in authorship.featurize(docs, lexicon).collect()), key=lambda x: (repr(x[0]), x[1]))
+    want = sorted(((d, k, authorship.dense_features(p, few)) for d, t in rows for k, (_, p) in enumerate(authorship.window_texts(t or ""))), key=lambda x: (repr(x[0]), x[1]))
+    assert len(got) == len(want) > 20
+    for (d, k, f), (d2, k2, f2) in zip(got, want, strict=True):
+        assert (d, k) == (d2, k2) and all(abs(x - y) < 1e-8 for x, y in zip(f, f2, strict=True))
