@@ -4,8 +4,8 @@ Conventions that hold for every operator of this subpackage:
 
 * Inputs are reduced to the named columns first, so extra columns never clash.
 * A null text counts as an empty text. A null id is an id like any other.
-* Ids are expected to be unique. Rows that share an id are taken as copies of
-  one document: each row gets a result row.
+* Ids are expected to be unique. Each row gets a result row of its own text, also where rows share an id:
+  operators that compare documents tell such rows apart by a hash of the text.
 * Intermediate tables go to ``spark.checkpoint.dir`` (:func:`materialize`), which
   executors share, so a lost executor never takes the only copy with it.
 """
@@ -13,14 +13,18 @@ Conventions that hold for every operator of this subpackage:
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: Rows up to which a side may be broadcast; beyond it joins shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Measured bytes up to which a side is broadcast; beyond it joins shuffle.
+BROADCAST_BYTES = 32 << 20
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -33,9 +37,11 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of this process only where the session names none, as in tests."""
+    """The folder that driver and executors share. Where the session names none, a temporary one of this process, which only a local master can read."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="palimpsest-"))
         found = _own[0]
@@ -83,9 +89,28 @@ def drop_worker_caches() -> None:
             gc.collect()
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint behind a check of the size; without it the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+def _width(column: Column, kind: DataType) -> Column:
+    """Bytes of a value, about."""
+    if isinstance(kind, StructType):
+        return reduce(add, (_width(column[f.name], f.dataType) for f in kind.fields), F.lit(8))
+    if isinstance(kind, ArrayType):
+        if isinstance(kind.elementType, StringType | BinaryType | StructType | ArrayType):
+            return F.coalesce(F.aggregate(column, F.lit(16).cast("long"), lambda a, x: a + _width(x, kind.elementType).cast("long")), F.lit(8))
+        return F.coalesce(16 + 8 * F.size(column), F.lit(8))
+    if isinstance(kind, StringType | BinaryType):
+        return 16 + F.coalesce(F.octet_length(column), F.lit(0))
+    return F.lit(8)
+
+
+def measured(df: DataFrame) -> int:
+    """Bytes of a table's rows, about, by reading it once."""
+    width = reduce(add, (_width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16))
+    return int(df.agg(F.sum(width.cast("long"))).first()[0] or 0)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A broadcast hint if the table, read once for that, has at most ``BROADCAST_BYTES``; without it the join shuffles."""
+    return F.broadcast(df) if measured(df) <= BROADCAST_BYTES else df
 
 
 def ascii_lower(text: Column) -> Column:

@@ -1,11 +1,11 @@
 """Benchmark decontamination over a positional inverted index (DataFrame and SQL functions only).
 
-The index stores a posting ``(doc_id, pos, term)`` for each word of a document that is a
+The index stores a posting ``(document, pos, term)`` for each word of a document that is a
 test term. It is split by document, so building it needs no shuffle. Counts of the
-postings tell which terms of a test window are rarest. Posting lists of those rare terms,
-each moved back by the term's offset in its item, are intersected first; what is left
-names (document, item, diagonal) candidates, and only their documents' other postings
-are read to confirm whole windows.
+postings tell which terms of a test window are rarest. The list of a window's rarest term,
+moved back by the term's offset in the item, gives diagonals; the list of the next term is looked up where it
+must stand on them. What is left names (document, item, diagonal) candidates, and the lists of all other terms are
+intersected with these to confirm whole windows. Document texts are read once, to build the index.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from pyspark.sql.window import Window
 
 from .common import ascii_lower, materialize, read, release, small
 
+#: A document: rows that share an id but not the text are told apart by a hash of the text.
+DOC = ["doc_id", "version"]
+
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -44,8 +47,6 @@ class TestItems:
 
     passages: DataFrame  # passage, words, size (window length)
     members: DataFrame  # passage, item_id
-    n_passages: int
-    n_terms: int
 
 
 def test_items(benchmark: DataFrame, window: int) -> TestItems:
@@ -57,15 +58,22 @@ def test_items(benchmark: DataFrame, window: int) -> TestItems:
         "passages",
     )
     members = items.distinct().join(passages.select("passage", "words"), "words").select("passage", "item_id").distinct()
-    n_terms = passages.select(F.explode("words").alias("term")).distinct().count()
-    return TestItems(passages, materialize(members, "members"), passages.count(), n_terms)
+    return TestItems(passages, materialize(members, "members"))
+
+
+def _version(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _same(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["doc_id"]) & (a["version"] == b["version"])
 
 
 def build_index(docs: DataFrame, items: TestItems) -> DataFrame:
-    """Postings of the test terms: ``doc_id, pos, term``, split by document as the input is."""
+    """Postings of the test terms: ``doc_id, version, pos, term``, split by document as the input is."""
     vocabulary = items.passages.select(F.explode("words").alias("term")).distinct()
-    words = docs.select("doc_id", F.posexplode(split_words(F.col("text"))).alias("pos", "term")).where(F.col("term") != "")
-    return materialize(words.join(small(vocabulary, items.n_terms), "term", "left_semi").select("doc_id", "pos", "term"), "postings")
+    words = docs.select("doc_id", _version(F.col("text")).alias("version"), F.posexplode(split_words(F.col("text"))).alias("pos", "term")).where(F.col("term") != "")
+    return materialize(words.join(small(vocabulary), "term", "left_semi").select(*DOC, "pos", "term"), "postings")
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, slop: int = 4, near_share: float | None = 0.8) -> DataFrame:
@@ -73,20 +81,21 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = 8, slop: i
 
     ``docs``: ``doc_id, text``; ``benchmark``: ``item_id, text``. A window is ``window``
     consecutive words of an item; an item with fewer (but some) words is one window.
-    Returns, per document with a candidate, ``doc_id, hits`` (sorted word positions inside any
+    Returns, per document with a match, ``doc_id, version`` (a hash of its text), ``hits`` (sorted word positions inside any
     occurrence of a window; positions count from the first piece of the text),
     ``passages`` (those with an occurring window) and ``near`` (those of which at
     least ``near_share`` of the distinct words lie, in any order, in a stretch of the text as long as the item and ``slop`` words on each side; none if ``near_share`` is None).
 
     Nulls: null and word-less texts have no words; a null ``doc_id`` or ``item_id`` is an id
-    like any other. Rows sharing a ``doc_id`` are copies of one document. Repeated items count once per id.
+    like any other. Rows that share a ``doc_id`` and differ in text are documents of their own; of repeated rows each gets what one has. Repeated items count once per id.
+    Texts of any length are indexed whole, a posting a row. An empty table gives no rows. Of terms that are equally rare the first in the window is looked up first, which changes no result.
     """
     items = test_items(benchmark, window)
     return _matches(docs, build_index(docs, items), items, slop, near_share)
 
 
 def _proximity(postings: DataFrame, counts: DataFrame, items: TestItems, slop: int, near_share: float) -> DataFrame:
-    """``doc_id, near``: passages of which enough distinct words lie in one stretch of a document.
+    """``doc_id, version, near``: passages of which enough distinct words lie in one stretch of a document.
 
     At most ``x`` of a passage's words may be missing, so of its ``r`` rarest words a document needs ``r - x``. Only for such documents are the other
     postings read; as a position holds one word, a stretch has no more postings than positions, and checking is linear in the document.
@@ -94,106 +103,61 @@ def _proximity(postings: DataFrame, counts: DataFrame, items: TestItems, slop: i
     words = items.passages.select("passage", (F.size("words") + 2 * slop).alias("span"), F.array_distinct("words").alias("words"))
     words = words.withColumn("least", F.expr(f"int(ceil({near_share} * size(words)))"))
     words = words.withColumn("r", F.expr("least(size(words), 2 * (size(words) - least) + 3)")).withColumn("need", F.expr("greatest(1, r - size(words) + least)"))
-    terms = words.select("passage", "span", "least", "r", "need", F.explode("words").alias("term")).join(small(counts, items.n_terms), "term", "left")
+    terms = words.select("passage", "span", "least", "r", "need", F.explode("words").alias("term")).join(small(counts), "term", "left")
     order = Window.partitionBy("passage").orderBy(F.coalesce("n", F.lit(0)), "term")
     terms = materialize(terms.withColumn("rank", F.row_number().over(order)).drop("n"), "near-terms")
-    n_terms = terms.count()
     rare = terms.where("rank <= r").select("passage", "need", "term")
-    held = postings.join(small(rare, n_terms), "term").groupBy("doc_id", "passage", "need").agg(F.size(F.collect_set("term")).alias("held"))
-    able = materialize(held.where("held >= need").select(F.col("doc_id").alias("doc"), "passage"), "able")
-    found = postings.join(small(able, able.count()), F.col("doc_id").eqNullSafe(F.col("doc")))
-    found = found.join(small(terms.select("passage", "term", "span", "least"), n_terms), ["passage", "term"])
-    found = found.groupBy("doc_id", "passage", "span", "least").agg(F.sort_array(F.collect_set(F.struct("pos", "term"))).alias("list"))
+    held = postings.join(small(rare), "term").groupBy(*DOC, "passage", "need").agg(F.size(F.collect_set("term")).alias("held"))
+    able = materialize(held.where("held >= need").select(*DOC, "passage"), "able")
+    found = postings.join(small(able.select(*(F.col(c).alias(f"{c}__") for c in DOC), "passage")), F.col("doc_id").eqNullSafe(F.col("doc_id__")) & (F.col("version") == F.col("version__")))
+    found = found.join(small(terms.select("passage", "term", "span", "least")), ["passage", "term"])
+    found = found.groupBy(*DOC, "passage", "span", "least").agg(F.sort_array(F.collect_set(F.struct("pos", "term"))).alias("list"))
     inside = "transform(filter(slice(list, i, span), x -> x.pos < list[i - 1].pos + span), x -> x.term)"
     found = found.where("size(list) >= least").where(F.expr(f"exists(sequence(1, size(list)), i -> size(array_distinct({inside})) >= least)"))
-    out = materialize(found.groupBy("doc_id").agg(F.collect_set("passage").alias("near")), "near")
+    out = materialize(found.groupBy(*DOC).agg(F.collect_set("passage").alias("near")), "near")
     release(terms, able)
     return out
 
 
+def _lookup(postings: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` (a written table with ``doc_id, version, pos, term``) that are postings."""
+    there = small(wanted)
+    if there is wanted:
+        there = wanted.hint("shuffle_hash")  # the index is streamed past it, not sorted
+    return postings.join(there, _same(postings, wanted) & (postings["pos"] == wanted["pos"]) & (postings["term"] == wanted["term"])).select(*(wanted[c] for c in wanted.columns))
+
+
 def _matches(docs: DataFrame, postings: DataFrame, items: TestItems, slop: int, near_share: float | None) -> DataFrame:
-    # Windows whose terms all occur, with each term's rank by its count of postings
-    counts = postings.groupBy("term").agg(F.count("*").alias("n"))
+    counts = materialize(postings.groupBy("term").agg(F.count("*").alias("n")), "counts")
     windows = items.passages.select(
         "passage", "size", "words", F.explode(F.expr("sequence(0, size(words) - size)")).alias("w")
     ).select("passage", "w", "size", F.posexplode(F.expr("slice(words, w + 1, size)")).alias("off", "term"))
-    total = postings.count()
-    rare = max(1000, total // 10_000)
-    order = Window.partitionBy("passage", "w").orderBy(F.col("n"), F.col("off"))
-    ranked = (
-        windows.join(small(counts, items.n_terms), "term")
-        .withColumn("rank", F.row_number().over(order))
-        .where("rank <= 2")
-    )
-    whole = windows.join(small(counts, items.n_terms), "term").groupBy("passage", "w", "size").count().where("count = size").select("passage", "w")
-    # per window: its rarest term t1 and the next one t2, with item positions; "rare" says if t2 is rare
-    place = F.struct((F.col("w") + F.col("off")).alias("q"), F.col("term"), (F.col("n") <= rare).alias("rare"))
-    needs = materialize(
-        ranked.join(whole, ["passage", "w"])
-        .groupBy("passage", "w")
-        .agg(F.max(F.when(F.col("rank") == 1, place)).alias("t1"), F.max(F.when(F.col("rank") == 2, place)).alias("t2")),
-        "needs",
-    )
-    anchors = (
-        needs.select("passage", F.explode(F.expr("filter(array(t1, t2), (t, k) -> k = 0 or t.rare)")).alias("t"))
-        .select("passage", F.col("t.q").alias("q"), F.col("t.term").alias("term"))
-        .distinct()
-    )
-    tests = needs.groupBy("passage").agg(F.collect_set(F.struct(F.col("t1.q").alias("q1"), F.col("t2").alias("t2"))).alias("tests"))
-    # offset-adjusted lists: a posting of a rare term at item position q lies on diagonal pos - q
-    n_anchors, n_tests = anchors.count(), items.n_passages
-    lists = (
-        postings.join(small(anchors, n_anchors), "term")
-        .groupBy("doc_id", "passage", (F.col("pos") - F.col("q")).alias("diag"))
-        .agg(F.collect_set("q").alias("qs"))
-    )
-    met = "exists(tests, t -> array_contains(qs, t.q1) and (t.t2 is null or t.t2.rare and array_contains(qs, t.t2.q)))"
-    strong = lists.join(small(tests, n_tests), "passage").where(F.expr(met)).select("doc_id", "passage", "diag")
-    # A window with one rare term only: the list of the next one is long, so it is not fetched. Where the rare term
-    # stands, the index's part of that document tells if the next one stands at its offset.
-    weak = needs.where("not t2.rare").select(
-        "passage", F.col("t1.term").alias("term"), F.col("t1.q").alias("q1"), F.col("t2.q").alias("q2"), F.col("t2.term").alias("second")
-    ).distinct()
-    here = docs.select("doc_id", split_words(F.col("text")).alias("w")).select("doc_id", "w", F.posexplode("w").alias("pos", "term"))
-    checked = (
-        here.join(small(weak, weak.count()), "term")
-        .where(F.get("w", F.col("pos") - F.col("q1") + F.col("q2")) == F.col("second"))
-        .select("doc_id", "passage", (F.col("pos") - F.col("q1")).alias("diag"))
-    )
-    candidates = materialize(strong.unionByName(checked).distinct(), "candidates")
-    # confirm whole windows with the other postings of the candidates' documents
-    named = candidates.select("doc_id").distinct()
-    n_named = named.count()
-    key = postings["doc_id"].eqNullSafe(named["doc_id"])
-    rest = (
-        postings.join(small(named, n_named), key, "left_semi")
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_set(F.struct("pos", "term"))).alias("list"))
-    )
-    sought = (
-        candidates.join(small(items.passages, items.n_passages), "passage")
-        .groupBy(F.col("doc_id").alias("doc"))
-        .agg(F.collect_list(F.struct("passage", "diag", "words", "size")).alias("cands"))
-    )
-    both = rest.join(sought, F.col("doc_id").eqNullSafe(F.col("doc")))
-    on = "transform(filter(list, x -> x.pos >= c.diag and x.pos < c.diag + size(c.words) and c.words[x.pos - c.diag] = x.term), x -> x.pos)"
-    seen = f"transform(cands, c -> named_struct('passage', c.passage, 'size', c.size, 'on', {on}))"
-    run = "transform(filter(sequence(0, size(c.on) - c.size), i -> c.on[i + c.size - 1] - c.on[i] = c.size - 1), i -> sequence(c.on[i], c.on[i] + c.size - 1))"
-    hit = f"transform(seen, c -> named_struct('passage', c.passage, 'hits', if(size(c.on) < c.size, cast(array() as array<int>), array_distinct(flatten({run})))))"
-    out = both.select("doc_id", F.expr(seen).alias("seen")).select("doc_id", F.expr(hit).alias("hit"))
-    out = out.select(
-        "doc_id",
-        F.expr("array_sort(array_distinct(flatten(transform(hit, h -> h.hits))))").alias("hits"),
-        F.expr("array_distinct(transform(filter(hit, h -> size(h.hits) > 0), h -> h.passage))").alias("passages"),
-        F.expr("cast(array() as array<bigint>)").alias("near"),
-    )
+    # windows whose terms all occur: the rarest term and the next one, by their counts of postings, with their places in the item
+    place = F.struct("n", "off", (F.col("w") + F.col("off")).alias("q"), "term")
+    needs = windows.join(small(counts), "term").groupBy("passage", "w", "size").agg(F.count("*").alias("found"), F.array_sort(F.collect_list(place)).alias("t")).where("found = size")
+    probes = needs.select("passage", F.expr("t[0].q").alias("q1"), F.expr("t[0].term").alias("first"), F.expr("get(t, 1).q").alias("q2"), F.expr("get(t, 1).term").alias("second"))
+    probes = materialize(probes.distinct(), "probes")
+    # offset-adjusted list of the rarest term: a posting at item position q lies on diagonal pos - q
+    starts = postings.join(small(probes.withColumnRenamed("first", "term")), "term")
+    starts = starts.select(*DOC, "passage", (F.col("pos") - F.col("q1")).alias("diag"), (F.col("pos") - F.col("q1") + F.col("q2")).alias("pos"), F.col("second").alias("term"))
+    starts = materialize(starts, "starts")
+    met = _lookup(postings.join(small(probes.select(F.col("second").alias("term")).distinct()), "term", "left_semi"), starts)
+    candidates = met.unionByName(starts.where("term is null")).select(*DOC, "passage", "diag").distinct()
+    # the other lists, at the places where a candidate's item has their terms
+    wanted = candidates.join(small(items.passages), "passage").select(*DOC, "passage", "diag", "size", F.posexplode("words").alias("k", "term"))
+    wanted = materialize(wanted.withColumn("pos", F.col("diag") + F.col("k")), "wanted")
+    seen = _lookup(postings, wanted).groupBy(*DOC, "passage", "diag", "size").agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    whole = "filter(sequence(0, size(ks) - size), i -> ks[i + size - 1] - ks[i] = size - 1)"
+    seen = seen.where("size(ks) >= size").select(*DOC, "passage", F.expr(f"array_distinct(flatten(transform({whole}, i -> sequence(diag + ks[i], diag + ks[i] + size - 1))))").alias("hits"))
+    out = seen.where("size(hits) > 0").groupBy(*DOC).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.collect_set("passage").alias("passages"))
+    out = out.withColumn("near", F.expr("cast(array() as array<bigint>)"))
     if near_share is not None:
         close = _proximity(postings, counts, items, slop, near_share)
-        close = close.select("doc_id", F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<bigint>)").alias("passages"), "near")
-        out = out.unionByName(close).groupBy("doc_id").agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "passages", "near")))
+        close = close.select(*DOC, F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<bigint>)").alias("passages"), "near")
+        out = out.unionByName(close).groupBy(*DOC).agg(*(F.flatten(F.collect_list(c)).alias(c) for c in ("hits", "passages", "near")))
     out = materialize(out, "matches")
     out._members = items.members
-    release(postings, candidates, needs)
+    release(postings, counts, probes, starts, wanted, items.passages)
     return out
 
 
@@ -206,26 +170,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, min_it
     docs = docs.select("doc_id", "text")
     found = find_matches(docs, benchmark, window, near_share=near_share)
     members = found._members
-    ids = (
-        found.select("doc_id", F.explode("passages").alias("passage"))
-        .join(members, "passage")
-        .groupBy(F.col("doc_id").alias("d1"))
-        .agg(F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("null")))).alias("items"))
-    )
-    near = (
-        found.select("doc_id", F.explode("near").alias("passage"))
-        .join(members, "passage")
-        .groupBy(F.col("doc_id").alias("d2"))
-        .agg(F.size(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("null")))).cast("long").alias("n_near"))
-    )
-    hits = found.where("size(hits) > 0 or size(near) > 0").select(F.col("doc_id").alias("d0"), F.size("hits").cast("long").alias("n_hit"))
-    hits = hits.join(ids, F.col("d0").eqNullSafe(F.col("d1")), "left").join(near, F.col("d0").eqNullSafe(F.col("d2")), "left")
-    sized = docs.select("doc_id", word_count(F.col("text")).alias("n_words"))
-    items = F.coalesce("items", F.array().cast("array<string>"))
-    return sized.join(hits, F.col("doc_id").eqNullSafe(F.col("d0")), "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+
+    def named(column: str, name: str) -> DataFrame:
+        ids = found.select(*DOC, F.explode(column).alias("passage")).join(small(members), "passage")
+        return ids.groupBy(*DOC).agg(F.array_sort(F.collect_set(F.coalesce(F.col("item_id").cast("string"), F.lit("null")))).alias(name))
+
+    hits = found.select(*DOC, F.size("hits").cast("long").alias("n_hit"))
+    for column, name in (("passages", "items"), ("near", "near_items")) if near_share is not None else (("passages", "items"),):
+        ids = named(column, name)
+        hits = hits.join(ids, _same(hits, ids), "left").select(*(hits[c] for c in hits.columns), name)
+    none = F.array().cast("array<string>")
+    if near_share is None:
+        hits = hits.withColumn("near_items", none)
+    hits = materialize(hits, "hits")
+    release(found, members)
+    sized = docs.select("doc_id", _version(F.col("text")).alias("version"), word_count(F.col("text")).alias("n_words"))
+    items = F.coalesce("items", none)
+    there = small(hits)
+    return sized.join(there, _same(sized, hits), "left").select(
+        sized["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
-        (F.size(items) >= min_items).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), items.alias("items"),
+        (F.size(items) >= min_items).alias("contaminated"), F.coalesce(F.size("near_items"), F.lit(0)).cast("long").alias("n_near"), items.alias("items"),
     )
 
 

@@ -201,7 +201,7 @@ def scan(
     up = dirs.select("dir", F.posexplode(F.expr(f"array_distinct({above})")).alias("depth", "at"))
     given = up.join(heads.withColumnRenamed("dir", "at"), "at").groupBy("dir").agg(F.max_by(F.struct("licence", "at"), "depth").alias("from"))
     given = materialize(given, "given")
-    out = listed.join(small(own, own.count()), "row", "left").join(small(given, given.count()), "dir", "left")
+    out = listed.join(small(own), "row", "left").join(small(given), "dir", "left")
     mine = F.col("licence").isNotNull()
     out = out.select(
         "row.path", *(F.col(f"row.{c}").alias(c) for c in rest),

@@ -1,25 +1,31 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through shared hashes of lines, of runs of lines and of whole documents. Of a line or run that several documents hold, the earliest holder
-(smallest id) is the partner of all others, so candidates grow with the lines, not with the square of a line's holders,
-however frequent the line is. Every pair is aligned. Alignment is patience diff: lines that are
-unique in both documents, in longest increasing order, are anchors; gaps between anchors are aligned in turn. Aligned common blocks
-are deleted from the later document; the earliest holder of a line never loses it. Only a line that stands alone in its block, and that
-most documents hold, is no overlap, unless the pair has a rarer line in common or most of the later document is shared.
+Overlapping documents are found through shared hashes of lines and of runs of adjacent lines. Alignment is patience diff: lines that are
+unique in both documents, in longest increasing order, are anchors; gaps between anchors are aligned in turn. Aligned common blocks of enough words
+are deleted from the later document. The result is that of aligning all pairs, but few are aligned:
+
+Of a line or run that several documents hold, the earliest holder (smallest id) is the first partner of all others. Each line of a block of enough words lies in one of the
+block's shortest runs of enough words, from its left or right end, and that run is shared, whichever the earlier document. A diff with the earliest holder fails to align a shared run only where other blocks cross it,
+or lines repeat. Only such runs (not yet deleted, but held earlier) go on to further holders: the one before the document, then the two before that, then four, until the run
+is aligned or no holder is left.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import drop_worker_caches, materialize, read, release, small
 
+KEY = ["doc_id", "version"]
+
 
 def _patience(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int, out: list[tuple[int, int]]) -> None:
     """Aligned index pairs of a[a0:a1] and b[b0:b1], appended in order."""
@@ -84,10 +90,12 @@ def aligned_blocks(early: list[int], late: list[int]) -> list[tuple[int, int]]:
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, hashes, words`` per document: a hash and a count of words for each line. Blank lines have hash 0."""
+    """``doc_id, version, hashes, words`` per document: a hash of the text, a hash and a count of words for each line. Blank lines have hash 0."""
     line = "trim(BOTH ' \t\r' FROM x)"
-    return docs.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines")).select(
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.xxhash64(text).alias("version"), F.split(text, "\n", -1).alias("lines")).select(
         "doc_id",
+        "version",
         F.expr(f"transform(lines, x -> if({line} = '', 0L, xxhash64({line})))").alias("hashes"),
         F.expr(f"transform(lines, x -> if({line} = '', 0, size(split({line}, '\\\\s+'))))").alias("words"),
     )
@@ -97,18 +105,34 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def _shortest_runs(hashes: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs of at least ``min_words`` words from each line that is not blank, to the right and to the left."""
+    sums, full = np.concatenate([[0], np.cumsum(words)]), np.flatnonzero(hashes)
+    ends = np.searchsorted(sums, sums[full] + min_words)
+    right = ends <= len(hashes)
+    starts = np.searchsorted(sums, sums[full + 1] - min_words, "right") - 1
+    left = sums[full + 1] >= min_words
+    return np.concatenate([full[right], starts[left]]), np.concatenate([ends[right], full[left] + 1])
+
+
+def _span_hashes(hashes: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hashes of runs of lines; equal lines in equal order have equal hashes wherever they stand."""
+    n = len(hashes)
+    h = np.asarray(hashes, "int64").astype("uint64")
+    powers, back = (np.cumprod(np.array([1] + [x] * (n - 1), "uint64")) for x in (_BASE, _INVERSE))
+    upto = np.concatenate([np.zeros(1, "uint64"), np.cumsum(h * powers)])
+    run = (upto[e] - upto[s]) * back[s] + (e - s).astype("uint64") * np.uint64(_BASE)
+    return ((run ^ (run >> np.uint64(29))) * np.uint64(_INVERSE)).astype("int64")
+
+
 def _run_hashes(hashes: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
-    """Hashes of the runs of a document that :func:`_runs_of` names; equal lines in equal order have equal hashes wherever they stand."""
+    """Hashes of runs of two and more lines with at least ``min_words`` words: the shortest from each line, runs of 2, 4, 8 ... lines, and the whole document."""
     n = len(hashes)
     if n < 2:
         return np.zeros(0, "int64")
-    h, sums = np.asarray(hashes, "int64").astype("uint64"), np.concatenate([[0], np.cumsum(words)])
-    powers, back = (np.cumprod(np.array([1] + [x] * (n - 1), "uint64")) for x in (_BASE, _INVERSE))
-    upto = np.concatenate([np.zeros(1, "uint64"), np.cumsum(h * powers)])
-    starts = np.flatnonzero(h)
-    ends = np.searchsorted(sums, sums[starts] + min_words)
-    some = (ends > starts + 1) & (ends <= n)
-    pairs = [(starts[some], ends[some])]
+    hashes, sums = np.asarray(hashes, "int64"), np.concatenate([[0], np.cumsum(words)])
+    starts = np.flatnonzero(hashes)
+    pairs = [_shortest_runs(hashes, words, min_words)]
     size = 2
     while size <= n:
         at = starts[starts + size <= n]
@@ -116,90 +140,150 @@ def _run_hashes(hashes: np.ndarray, words: np.ndarray, min_words: int) -> np.nda
         size *= 2
     pairs.append((np.array([0]), np.array([n])))
     s, e = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    enough = sums[e] - sums[s] >= min_words
-    s, e = s[enough], e[enough]
-    run = (upto[e] - upto[s]) * back[s] + (e - s).astype("uint64") * np.uint64(_BASE)
-    return np.unique((run ^ (run >> np.uint64(29))) * np.uint64(_INVERSE)).astype("int64")
+    some = (sums[e] - sums[s] >= min_words) & (e > s + 1)
+    return np.unique(_span_hashes(hashes, s[some], e[some]))
 
 
-def _runs_of(table: DataFrame, min_words: int) -> DataFrame:
-    """``doc_id, h`` of runs of adjacent lines with at least ``min_words`` words: from each line the shortest, runs of 2, 4, 8 ... lines, and the whole document.
-
-    Every aligned block of several lines that reaches ``min_words`` has the shortest run from its first line that is not blank.
-    """
+def _runs_of(table: DataFrame, min_words: int, line_words: int) -> DataFrame:
+    """``doc_id, version, h`` of lines with at least ``line_words`` words and of runs (:func:`_run_hashes`); each once for a document."""
 
     @F.pandas_udf("array<long>")
     def runs(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         drop_worker_caches()
         for hashes, words in rows:
-            yield pd.Series([_run_hashes(h, w, min_words) for h, w in zip(hashes, words, strict=True)])
+            out = []
+            for h, w in zip(hashes, words, strict=True):
+                h, w = np.asarray(h, "int64"), np.asarray(w)
+                out.append(np.concatenate([np.unique(h[w >= line_words]), _run_hashes(h, w, min_words)]))
+            yield pd.Series(out)
+
+    return table.select("doc_id", "version", F.explode(runs("hashes", "words")).alias("h"))
 
-    return table.select("doc_id", F.explode(runs("hashes", "words")).alias("h"))
+
+def _counts(hashes: np.ndarray, words: np.ndarray, s: int, e: int, min_words: int, frequent: frozenset[int], share: float) -> bool:
+    """Whether a block of lines is an overlap: enough words, and not just one line that is frequent, unless it has ``share`` of the document's words."""
+    inner = np.flatnonzero(words[s:e]) + s
+    return words[s:e].sum() >= min_words and (len(inner) > 1 or int(hashes[inner[0]]) not in frequent or words[inner[0]] >= share * words.sum())
+
+
+def common_lines(early: np.ndarray, late: np.ndarray, words: np.ndarray, min_words: int, frequent: frozenset[int] = frozenset(), share: float = 0.5) -> list[int]:
+    """Numbers of the lines of ``late`` in aligned blocks of at least ``min_words`` words; see :func:`_counts`."""
+    gone = [k for s, e in aligned_blocks(early.tolist(), late.tolist()) if _counts(late, words, s, e, min_words, frequent, share) for k in range(s, e)]
+    return [k for k in gone if late[k] != 0]
+
+
+def open_runs(hashes: np.ndarray, words: np.ndarray, drop: np.ndarray, shared: np.ndarray, min_words: int, frequent: frozenset[int], share: float) -> list[int]:
+    """Hashes of the shortest runs of enough words that are ``shared`` and hold a line that is not in ``drop``."""
+    if not len(hashes):
+        return []
+    kept = hashes != 0
+    kept[drop] = False
+    s, e = _shortest_runs(hashes, words, min_words)
+    left = np.concatenate([[0], np.cumsum(kept)])
+    some = left[e] > left[s]
+    s, e = s[some], e[some]
+    key = np.where(e == s + 1, hashes[s], _span_hashes(hashes, s, e))
+    some = np.isin(key, shared)
+    return sorted({int(k) for k, a, b in zip(key[some], s[some].tolist(), e[some].tolist(), strict=True) if _counts(hashes, words, a, b, min_words, frequent, share)})
+
+
+def _ranked(held: DataFrame) -> DataFrame:
+    """``h, doc_id, version, rank``: a written table of a line's or run's holders, numbered from 1 by id. Sorted by ranges, so that no task gets all holders of one."""
+    order = ["h", *KEY]
+    ranged = materialize(held.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ranged")
+    parts = ranged.groupBy("h", "part").agg(F.count("*").alias("n"))  # a row for each run and partition that has it
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    local = ranged.withColumn("k", F.row_number().over(Window.partitionBy("h", "part").orderBy(*KEY)))
+    out = materialize(local.join(parts.select("h", "part", before.alias("before")), ["h", "part"]).select(*order, (F.col("before") + F.col("k")).alias("rank")), "ranked")
+    release(ranged)
+    return out
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 8, line_words: int = 4, rare: int = 50, share: float = 0.5, most: float = 0.5) -> DataFrame:
-    """``doc_id, drop``: numbers of the lines that an earlier document has in an aligned block of at least ``min_words`` words.
+    """``doc_id, version, drop``: numbers of the lines that an earlier document has in an aligned block of at least ``min_words`` words.
+
+    Lines of at least ``line_words`` words and runs of lines make candidates; see above for how few pairs stand for all. A frequent line alone is no overlap: a block of
+    one line does not count where more than ``rare`` documents and more than ``most`` of all documents hold the line, unless it has at least ``share`` of the later document's words.
 
-    Lines of at least ``line_words`` words, runs of lines and whole documents make candidates, and every candidate is aligned. The words of a frequent line alone are no overlap: blocks of
-    one line do not count where more than ``rare`` documents and more than ``most`` of all documents hold each line and run that make the pair, and
-    the shared lines have less than ``share`` of the later document's words.
+    ``version`` is a hash of the text. Null and empty texts have no lines; null ids take no part; rows that share an id are not compared with each other; of repeated rows each holds once.
+    No documents, no rows. A text is held as a hash and a count for each of its lines.
     """
-    table = materialize(lines_of(docs), "lines")
-    held = table.where("doc_id is not null").select("doc_id", F.explode(F.arrays_zip("hashes", "words")).alias("l"))
-    held = held.select("doc_id", F.col("l.hashes").alias("h"), F.col("l.words").alias("w")).where(f"w >= {line_words}")
-    held = held.unionByName(_runs_of(table.where("doc_id is not null"), min_words).withColumn("w", F.lit(0)))
-    held = materialize(held.groupBy("doc_id", "h").agg(F.sum("w").alias("w")), "held")
-    first = held.groupBy("h").agg(F.min("doc_id").alias("early"), F.count("*").alias("df")).where("df > 1")
-    sizes = table.select("doc_id", F.expr("aggregate(words, 0, (a, x) -> a + x)").alias("total"))
-    pairs = (
-        held.join(first, "h").where("doc_id <> early").groupBy("doc_id", "early").agg(F.min("df").alias("df"), F.sum("w").alias("w"))
-    )
-    frequent = (F.col("df") > rare) & (F.col("df") > most * table.count())
-    alone = ~frequent | (F.col("w") >= share * F.col("total"))  # whether a block of one line counts
-    pairs = pairs.join(sizes, "doc_id").groupBy("doc_id", "early").agg(F.max(alone).alias("alone"))
-    pairs = materialize(pairs, "pairs")
-    one = table.dropDuplicates(["doc_id"])
-    both = pairs.join(one, "doc_id").join(one.select(F.col("doc_id").alias("early"), F.col("hashes").alias("early_hashes")), "early")
+    table = materialize(lines_of(docs.where("doc_id is not null")).dropDuplicates(KEY), "lines")
+    held = materialize(_runs_of(table, min_words, line_words), "held")
+    first = held.groupBy("h").agg(F.min(F.struct(*KEY)).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("df"))
+    first = materialize(first.where("df > 1 and first.doc_id < last"), "first")  # written, so that a join can split a frequent line's holders
+    # more than `most` of all documents hold each of these: at most 1 / most times the lines that a document has on average
+    frequent = frozenset(r.h for r in first.where((F.col("df") > rare) & (F.col("df") > most * table.count())).select("h").collect())
+    met = held.join(first.select("h", "first"), "h").where("doc_id <> first.doc_id")
+    met = materialize(met.select(*KEY, "h", F.col("first.doc_id").alias("early"), F.col("first.version").alias("early_version")), "met")
+    other = table.select(F.col("doc_id").alias("early"), F.col("version").alias("early_version"), F.col("hashes").alias("early_hashes"))
+    pair = [*KEY, "early", "early_version"]
 
     @F.pandas_udf("array<int>")
-    def dropped(early: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def dropped(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         drop_worker_caches()
-        for a, b, words, alone in early:
-            out = []
-            for x, y, w, one_line in zip(a, b, words, alone, strict=True):
-                w = np.asarray(w)
-                y = list(y)
-                gone = []
-                for s, e in aligned_blocks(list(x), y):
-                    if w[s:e].sum() >= min_words and (one_line or np.count_nonzero(w[s:e]) > 1):
-                        gone += range(s, e)
-                out.append([k for k in gone if y[k] != 0])
-            yield pd.Series(out)
+        for batch in rows:
+            yield pd.Series([common_lines(*(np.asarray(x) for x in row), min_words, frequent, share) for row in zip(*batch, strict=True)])
+
+    @F.pandas_udf("array<long>")
+    def still_open(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for batch in rows:
+            yield pd.Series([open_runs(*(np.asarray(x) for x in row), min_words, frequent, share) for row in zip(*batch, strict=True)])
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        found = pairs.join(table, KEY).join(other, pair[2:]).select(*KEY, dropped("early_hashes", "hashes", "words").alias("d"))
+        return materialize(found.where("size(d) > 0"), "aligned")
+
+    def together(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts).groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("d")))).alias("drop"))
+
+    def left_open(shared: DataFrame, parts: list[DataFrame]) -> DataFrame:
+        state = shared.groupBy(*KEY).agg(F.collect_set("h").alias("shared")).join(table, KEY).join(together(parts), KEY, "left")
+        runs = still_open("hashes", "words", F.coalesce("drop", F.array().cast("array<int>")), "shared")
+        return materialize(state.select(*KEY, F.explode(runs).alias("h")), "open")
 
-    found = both.select("doc_id", dropped("early_hashes", "hashes", "words", "alone").alias("d")).where("size(d) > 0")
-    out = materialize(found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("d")))).alias("drop")), "drop")
-    release(table, held, pairs)
+    parts = [aligned(met.select(*pair).distinct())]
+    open_ = left_open(met, parts)
+    if not open_.isEmpty():
+        ranked = _ranked(held.join(open_.select("h").distinct(), "h", "left_semi"))
+        reach = 1
+        while True:
+            mine = open_.join(ranked, ["h", *KEY]).where(F.col("rank") > reach)
+            if mine.isEmpty():
+                break
+            steps = F.sequence(F.greatest(F.lit(1), F.col("rank") - 2 * reach + 1), F.col("rank") - reach)
+            there = ranked.select("h", "rank", F.col("doc_id").alias("early"), F.col("version").alias("early_version"))
+            pairs = mine.select("h", *KEY, F.explode(steps).alias("rank")).join(there, ["h", "rank"]).where("early < doc_id").select(*pair).distinct()
+            parts.append(aligned(pairs))
+            old, open_ = open_, left_open(mine.select(*KEY, "h"), parts)
+            release(old)
+            reach *= 2
+        release(ranked)
+    out = materialize(together(parts), "drop")
+    release(table, held, first, met, open_, *parts)
     return out
 
 
 def dedup_lines(docs: DataFrame, **options: float) -> DataFrame:
     """The documents with repeated lines deleted, plus ``n_lines, n_dropped``.
 
-    All columns are kept; ``text`` has the lines that stay. A null or empty text is left as it is and has no lines to repeat; a null ``doc_id`` takes no part and stays whole. Rows
-    sharing an id are copies of one document and lose the same lines. Equal lines within one document are not compared. An empty table stays empty.
+    All columns are kept; ``text`` has the lines that stay. A null or empty text is left as it is and has no lines to repeat; a null ``doc_id`` takes no part and stays whole. Repeated rows
+    lose the same lines; rows that share an id and differ in text lose each what documents of smaller ids hold. Equal lines within one document are not compared. Texts of any length are
+    compared whole. An empty table stays empty.
     """
     gone = repeated_lines(docs.select("doc_id", "text"), **options)
-    n = gone.count()
-    cut = gone.select(F.col("doc_id").alias("doc_id__"), F.col("drop").alias("drop__"))
-    joined = docs.join(small(cut, n), docs["doc_id"] == F.col("doc_id__"), "left")
+    cut = small(gone.select(F.col("doc_id").alias("doc_id__"), F.col("version").alias("version__"), F.col("drop").alias("drop__")))
+    text = F.coalesce(docs["text"], F.lit(""))
+    joined = docs.join(cut, (docs["doc_id"] == F.col("doc_id__")) & (F.xxhash64(text) == F.col("version__")), "left")
     kept = F.expr("array_join(filter(split(text, '\\n', -1), (x, k) -> not array_contains(drop__, k)), '\\n')")
     return joined.select(
         *(F.when(F.col("drop__").isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else docs[c] for c in docs.columns),
-        F.size(F.split(F.coalesce(docs["text"], F.lit("")), "\n", -1)).cast("long").alias("n_lines"),
+        F.size(F.split(text, "\n", -1)).cast("long").alias("n_lines"),
         F.coalesce(F.size("drop__"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
 def op7_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, n_lines, n_dropped, kept_sha256`` of every document, by :func:`dedup_lines`."""
     out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

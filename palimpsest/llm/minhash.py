@@ -139,7 +139,7 @@ def sign(docs: DataFrame, shingle: int, chunks: int, width: int, errors: int) ->
     return short_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(signed, "doc_id long, n long, d1 long, d2 long, " + "".join(f"{k} long, " for k in SKETCH) + "keys array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n_ids: int, shingle: int) -> DataFrame:
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     def made(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_worker_caches()
         for batch in batches:
@@ -148,14 +148,14 @@ def _sets(docs: DataFrame, ids: DataFrame, n_ids: int, shingle: int) -> DataFram
                 sets = [shingle_set(t, shingle).view(np.int64) for t in texts[at : at + 256]]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 256], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
 
-    named = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(ids, n_ids), "id", "left_semi")
+    named = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(small(ids), "id", "left_semi")
     return named.mapInArrow(made, "id long, set array<long>")
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """Those of a written table of pairs ``a, b`` whose full sets have the similarity asked for, as a written table."""
     ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sets = materialize(_sets(docs, ids, ids.count(), shingle).dropDuplicates(["id"]), "sets")
+    sets = materialize(_sets(docs, ids, shingle).dropDuplicates(["id"]), "sets")
     left = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
     right = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -211,7 +211,7 @@ def _within_homes(docs: DataFrame, members: DataFrame, shingle: int, percent: in
         concat(transform(sequence(0, nm - 1), i -> named_struct('x', i, 'y', ns + k, 'side', 1)),
                transform(sequence(0, ns - 1), j -> named_struct('x', -1 - least(j, k), 'y', greatest(j, k), 'side', if(j = k, 2, if(k < j, 0, 1))))))"""
     ids = materialize(placed.select("id").distinct(), "ids")
-    sets = _sets(docs, ids, ids.count(), shingle).dropDuplicates(["id"])
+    sets = _sets(docs, ids, shingle).dropDuplicates(["id"])
     rows = placed.join(sets, "id").select("home", "id", "label", "n", *SKETCH, "set", F.explode(F.expr(task)).alias("t"))
     rows = rows.select("home", F.col("t.x").alias("x"), F.col("t.y").alias("y"), F.col("t.side").alias("side"), "id", "label", "n", *SKETCH, "set")
 

@@ -1,9 +1,10 @@
 """Personal data by base patterns and bootstrapped contextual extraction (DataFrame and SQL functions only).
 
-Base matches of four kinds are seeds. The words left of a seed are lexical patterns. In the graph of patterns and
-instances a pattern's confidence is the confidence of the instances it precedes, over all its occurrences in the corpus; an unseen
-instance's is that of the patterns that precede it taken together (noisy or). After a few
-rounds, identifier-shaped tokens right of patterns of high confidence are new spans. Base spans always stay.
+Base matches of four kinds are seeds. The words around a seed are lexical patterns of four shapes: the word before, the two words before, the word after, and
+the words on both sides. In the graph of patterns and instances a pattern's confidence is that of the instances it stands with, over all its occurrences in the corpus, and it is accepted with enough of it and enough
+different uses; an unseen instance's is that of the accepted patterns it stands with, taken together (noisy or). Instances that become confident count for
+patterns in the next round, so they induce patterns that no seed stands with. In the end identifier-shaped tokens with an accepted pattern are new spans.
+Base spans always stay.
 
 Offsets count code points: a match's start is the length of the gaps and matches before it, where gaps are
 what ``split`` and matches what ``regexp_extract_all`` give for one pattern.
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read, release, small
 
+DOC = ["doc_id", "version"]
 KINDS = ["email", "ip", "card", "phone"]
 #: The patterns as asked for, written so that no run of characters is tried again from its middle: a match begins at
 #: a run's start or where the last match ended.
@@ -60,121 +62,135 @@ def _quoted(pattern: str) -> str:
 
 def _placed(pattern: str, first: str, also: str = "") -> str:
     """SQL for all matches of a pattern in ``text`` with code-point spans: array of (s, e, v[, left])."""
-    left = ", 'left', right(g[i], 80)" if also else ""
-    kind = ", left:string" if also else ""
+    left = ", 'left', right(g[i], 80), 'right', left(g[i + 1], 80)" if also else ""
+    kind = ", left:string,right:string" if also else ""
     item = f"named_struct('s', int(x.at + length(g[i])), 'e', int(x.at + length(g[i]) + length(m[i])), 'v', m[i]{left})"
     body = f"""aggregate(sequence(0, size(m) - 1), named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,v:string{kind}>>)),
         (x, i) -> named_struct('at', int(x.at + length(g[i]) + length(m[i])), 'out', array_append(x.out, {item})), x -> x.out)"""
     q = _quoted(pattern)
-    with_lists = f"transform(array(named_struct('m', regexp_extract_all(text, {q}, 0), 'g', split(text, {q}, -1))), l -> {body.replace('m[i]', 'l.m[i]').replace('g[i]', 'l.g[i]').replace('size(m)', 'size(l.m)')})[0]"
+    with_lists = f"transform(array(named_struct('m', regexp_extract_all(text, {q}, 0), 'g', split(text, {q}, -1))), l -> {body.replace('m[i]', 'l.m[i]').replace('g[i', 'l.g[i').replace('size(m)', 'size(l.m)')})[0]"
     empty = f"cast(array() as array<struct<s:int,e:int,v:string{kind}>>)"
     return f"case when {first} and text rlike {q} then {with_lists} else {empty} end"
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """``doc_id, text`` plus ``email, ip, card, phone``: arrays of (s, e, v) of valid base matches."""
-    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """``doc_id, version, text`` (a hash of the text and the text) plus ``email, ip, card, phone``: arrays of (s, e, v) of valid base matches."""
+    out = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
     for kind in KINDS:
         valid = f"filter({{0}}, x -> exists(array(x.v), v -> {VALID[kind]}))"
         out = out.withColumn(kind, F.expr(valid.format(_placed(PATTERNS[kind], FIRST[kind]))))
     return out
 
 
+def _patterns(before: str, left: str, right: str) -> str:
+    """SQL for the patterns of a place, an array without nulls, from SQL for the words around it (null where there is none)."""
+    return f"""filter(array(concat('< ', {left}), concat('<< ', {before}, ' ', {left}), concat('> ', {right}), concat('<> ', {left}, ' ', {right})), p -> p is not null)"""
+
+
 def slots(based: DataFrame) -> DataFrame:
-    """Identifier-shaped tokens with their contexts: ``doc_id, s, e, inst, p1, p2, kind``.
+    """Identifier-shaped tokens with their contexts: ``doc_id, version, s, e, inst, kind, patterns, use``.
 
-    ``kind`` is the kind of the base match that begins in the token, null for none; tokens inside a base match are left out.
-    ``p1`` is the word before, ``p2`` the two words before; both null where the token begins right after another one or the text begins.
+    ``kind`` is the kind of the base match that begins in the token, null for none; tokens inside a base match are left out. Words between a token and its neighbouring tokens,
+    or the text's ends, make ``patterns``. ``use`` is a hash of the words around and the instance, equal for copies of a text.
     """
     found = based.select(
-        "doc_id", *KINDS, F.explode(F.expr(_placed(TOKEN, "text rlike '[0-9@]'", "left"))).alias("t")
+        *DOC, *KINDS, F.explode(F.expr(_placed(TOKEN, "text rlike '[0-9@]'", "left"))).alias("t")
     )
     inside = lambda kind: f"exists({kind}, b -> b.s < t.e and b.e > t.s)"
     begins = lambda kind: f"try_element_at(filter({kind}, b -> b.s >= t.s and b.s < t.e), 1)"
     seed = F.expr("coalesce(" + ", ".join(f"if(size({k}) > 0, {begins(k)}.v, null)" for k in KINDS) + ")")
     kind = F.expr("case " + " ".join(f"when exists({k}, b -> b.s >= t.s and b.s < t.e) then '{k}'" for k in KINDS) + " end")
-    words = "filter(split(lower(t.left), '\\\\s+'), w -> w <> '')"
+    words = "filter(split(lower(t.{0}), '\\\\s+'), w -> w <> '')"
+    around = f"transform(array(named_struct('l', {words.format('left')}, 'r', {words.format('right')})), x -> named_struct('l1', try_element_at(x.l, -1), 'l2', try_element_at(x.l, -2), 'r1', try_element_at(x.r, 1)))[0]"
     out = found.select(
-        "doc_id", F.col("t.s").alias("s"), F.col("t.e").alias("e"), F.col("t.v").alias("v"), seed.alias("seed"), kind.alias("kind"),
-        F.expr(" or ".join(inside(k) for k in KINDS)).alias("inside"),
-        F.expr(f"transform(array({words}), w -> named_struct('p1', try_element_at(w, -1), 'p2', try_element_at(w, -2)))[0]").alias("c"),
+        *DOC, F.col("t.s").alias("s"), F.col("t.e").alias("e"), F.col("t.v").alias("v"), seed.alias("seed"), kind.alias("kind"),
+        F.expr(" or ".join(inside(k) for k in KINDS)).alias("inside"), F.expr(around).alias("c"),
     )
     lead = F.length(F.regexp_extract("v", r"^[^A-Za-z0-9+(]*", 0))
     core = F.regexp_extract("v", r"[A-Za-z0-9+(](?s:.*[A-Za-z0-9])?", 0)
     return out.where("kind is not null or not inside").select(
-        "doc_id",
+        *DOC,
         F.when(F.col("kind").isNull(), F.col("s") + lead).otherwise(F.col("s")).alias("s"),
         F.when(F.col("kind").isNull(), F.col("s") + lead + F.length(core)).otherwise(F.col("e")).alias("e"),
         F.coalesce("seed", core).alias("inst"),
-        F.col("c.p1").alias("p1"),
-        F.concat_ws(" ", "c.p2", "c.p1").alias("p2"),
         "kind",
+        F.expr(_patterns("c.l2", "c.l1", "c.r1")).alias("patterns"),
+        F.xxhash64("c", F.coalesce("seed", core)).alias("use"),
     )
 
 
-def context_counts(docs: DataFrame, patterns: DataFrame, n_patterns: int) -> DataFrame:
-    """``pattern, total``: how often each of the given one- or two-word contexts stands before any token, over all texts."""
+def context_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``pattern, total``: how often each of the given patterns stands around any word, over all texts."""
     words = docs.select(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+", -1), lambda w: w != "").alias("w"))
-    at = words.select("w", F.posexplode("w").alias("k", "word")).where("k < size(w) - 1")
-    pair = F.expr("if(k > 0, concat(w[k - 1], ' ', word), null)")
-    both = at.select(F.explode(F.array("word", pair)).alias("pattern"))
-    return both.join(small(patterns, n_patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+    at = words.select("w", F.posexplode("w").alias("k", "word"))
+    here = _patterns("get(w, k - 2)", "get(w, k - 1)", "get(w, k + 1)")
+    both = at.select(F.explode(F.expr(here)).alias("pattern"))
+    return both.join(small(patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
 
 
-def discover(docs: DataFrame, found: DataFrame, support: int = 3, rounds: int = 3, confidence: float = 0.6) -> DataFrame:
-    """``doc_id, kind, s, e`` of spans found by context. ``found`` is a table of :func:`slots`.
+def discover(docs: DataFrame, found: DataFrame, support: int = 3, rounds: int = 5, confidence: float = 0.6) -> DataFrame:
+    """``doc_id, version, kind, s, e`` of spans found by context. ``found`` is a table of :func:`slots`.
 
-    A pattern needs ``support`` different seeds of a kind. Scores are computed for ``rounds`` rounds over all occurrences.
+    A pattern of a kind is accepted when confident instances of the kind (seeds, and those found before) stand with it in ``support`` different uses, and are
+    ``confidence`` of all that stands with it. It ends when a round accepts nothing new, after ``rounds`` rounds at most.
     """
-    cells = found.select("doc_id", "s", "e", "inst", "kind", F.explode(F.array("p1", "p2")).alias("pattern")).where("pattern is not null and pattern <> ''")
-    cells = cells.dropDuplicates(["doc_id", "s", "pattern"])
-    edges = cells.groupBy("pattern", "inst", "kind").agg(F.count("*").alias("n"))
-    seeds = edges.where("kind is not null").groupBy("pattern", F.col("kind").alias("of")).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= support)
-    seeds = materialize(seeds, "seeds")
-    names = seeds.select("pattern").distinct()
-    totals = materialize(context_counts(docs, names, seeds.count()), "totals")
-    graph = seeds.join(totals, "pattern").join(edges, "pattern").select("pattern", "of", "total", "inst", "kind", "n")
-    graph = materialize(graph.where("kind is null or kind = of"), "graph")
-    known = F.when(F.col("kind").isNotNull(), F.lit(1.0))
-    scores = graph.select("pattern", "of", "total", "n", "inst", known.alias("conf"))
-    patterns = None
-    for _ in range(rounds):
-        patterns = scores.groupBy("pattern", "of").agg(F.least(F.lit(1.0), F.sum(F.coalesce("conf", F.lit(0.0)) * F.col("n")) / F.max(F.greatest("total", F.lit(1)))).alias("p"))
-        unseen = graph.where("kind is null").join(patterns, ["pattern", "of"])
-        instances = unseen.groupBy("inst", "of").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("conf"))
-        scores = graph.join(instances, ["inst", "of"], "left").select("pattern", "of", "total", "n", "inst", F.when(F.col("kind").isNotNull(), F.lit(1.0)).otherwise(F.col("conf")).alias("conf"))
-        patterns = materialize(patterns, "patterns")
-    good = patterns.where(F.col("p") >= confidence)
     shape = F.expr("case of " + " ".join(f"when '{k}' then inst rlike {_quoted(SHAPE[k])}" for k in KINDS) + " end")
-    new = cells.where("kind is null").join(good, "pattern").where(shape)
-    best = new.groupBy("doc_id", "s", "e").agg(F.max(F.struct("p", "of")).alias("b"))
-    out = materialize(best.select("doc_id", F.col("b.of").alias("kind"), "s", "e"), "discovered")
-    release(seeds, totals, graph)
+    cells = found.select(*DOC, "s", "e", "inst", "kind", "use", F.explode("patterns").alias("pattern")).dropDuplicates([*DOC, "s", "pattern"])
+    edges = cells.groupBy("pattern", "inst", "kind", "use").agg(F.count("*").alias("n")).groupBy("pattern", "inst", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("uses"))
+    edges = materialize(edges, "edges")
+    often = edges.groupBy("pattern").agg(F.sum("uses").alias("uses")).where(F.col("uses") >= support).select("pattern")
+    often = materialize(often, "often")
+    totals = materialize(context_counts(docs, often), "totals")
+    # of each edge the kinds that its instance can be of
+    graph = edges.join(small(totals), "pattern").withColumn("of", F.explode(F.when(F.col("kind").isNotNull(), F.array("kind")).otherwise(F.array(*map(F.lit, KINDS)))))
+    graph = materialize(graph.where(F.col("kind").isNotNull() | shape).select("pattern", "total", "inst", "of", "n", "uses", F.col("kind").isNotNull().alias("seed")), "graph")
+    names = [F.lit(None).cast("string").alias(c) for c in ("inst", "of")]
+    known = docs.sparkSession.range(0).select(*names, F.lit(0.0).alias("conf"))
+    accepted, before = None, 0
+    for _ in range(rounds):
+        scored = graph.join(small(known), ["inst", "of"], "left").withColumn("conf", F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("conf", F.lit(0.0))))
+        patterns = scored.groupBy("pattern", "of").agg(
+            F.least(F.lit(1.0), F.sum(F.col("conf") * F.col("n")) / F.greatest(F.max("total"), F.sum("n"))).alias("p"),
+            F.sum(F.when(F.col("conf") >= confidence, F.col("uses")).otherwise(0)).alias("uses"),
+        )
+        patterns = materialize(patterns.where((F.col("p") >= confidence) & (F.col("uses") >= support)).select("pattern", "of", "p"), "patterns")
+        together = graph.where(~F.col("seed")).join(small(patterns), ["pattern", "of"]).groupBy("inst", "of")
+        instances = materialize(together.agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-9)))))).alias("conf")), "instances")
+        release(*([accepted, known] if accepted is not None else []))
+        accepted, known = patterns, instances
+        now = accepted.count() + known.count()
+        if now == before:
+            break
+        before = now
+    unseen = cells.where("kind is null")
+    best = unseen.join(small(accepted), "pattern").where(shape).groupBy(*DOC, "s", "e").agg(F.max(F.struct("p", "of")).alias("b"))
+    out = materialize(best.select(*DOC, F.col("b.of").alias("kind"), "s", "e"), "discovered")
+    release(edges, often, totals, graph, accepted, known)
     return out
 
 
 def find_pii(docs: DataFrame, **options: float) -> DataFrame:
     """``doc_id, base, found``: arrays of (kind, s, e) in order of kind and start; ``found`` are the spans added by context.
 
-    Null and empty texts have no spans; a null ``doc_id`` is an id like any other; rows sharing an id are copies of one document. With no seeds nothing is added.
+    Null and empty texts have no spans; a null ``doc_id`` is an id like any other; rows that share an id have the spans of their own texts, repeated rows the same. Whole texts of any length are searched.
+    Of kinds that are equally confident for a token the last by name is taken. With no seeds nothing is added; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
     based = base_spans(docs)
     order = {k: i for i, k in enumerate(KINDS)}
     every = F.expr("concat(" + ", ".join(f"transform({k}, x -> named_struct('k', {order[k]}, 's', x.s, 'e', x.e))" for k in KINDS) + ")")
-    table = slots(based)
-    held = materialize(table, "slots")
+    held = materialize(slots(based), "slots")
     extra = discover(docs, held, **options)
     number: Column = F.expr("case kind " + " ".join(f"when '{k}' then {i}" for k, i in order.items()) + " end")
-    extra = extra.groupBy(F.col("doc_id").alias("d")).agg(F.array_sort(F.collect_set(F.struct(number.alias("k"), "s", "e"))).alias("found"))
-    n = extra.count()
-    base = based.select("doc_id", F.array_sort(every).alias("base"))
-    out = base.join(small(extra, n), F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    extra = extra.groupBy(F.col("doc_id").alias("d"), F.col("version").alias("v")).agg(F.array_sort(F.collect_set(F.struct(number.alias("k"), "s", "e"))).alias("found"))
+    base = based.select(*DOC, F.array_sort(every).alias("base"))
+    out = base.join(small(extra), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
     release(held)
     return out.select("doc_id", "base", F.coalesce("found", F.expr("cast(array() as array<struct<k:int,s:int,e:int>>)")).alias("found"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and how many spans were found by context (``n_found``) and in all (``n_spans``)."""
     out = find_pii(read(spark, sf_dir, "documents"))
     name = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
     text = "array_join(transform({}, x -> concat({}[x.k], ':', x.s, ':', x.e)), ',')"
@@ -184,4 +200,5 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.expr(text.format("base", name)), 256).alias("base_sha256"),
         F.expr(text.format("array_sort(array_distinct(concat(base, found)))", name)).alias("spans"),
         F.expr("bigint(size(found))").alias("n_found"),
+        F.expr("bigint(size(array_distinct(concat(base, found))))").alias("n_spans"),
     )

@@ -36,27 +36,19 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _votes(texts: list[str]) -> np.ndarray:
-    """Votes of each text, texts x BITS."""
-    raws = [t.encode("utf-8", "replace") for t in texts]
-    sizes = np.array([len(r) + 1 for r in raws])
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    b = _FOLD[np.frombuffer(b"".join(r + b" " for r in raws), np.uint8)]
+def _runs(b: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and unmixed hashes of the runs of bytes that are ``inside``."""
     n = len(b)
     up = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _P, np.uint64))])
     sums = np.concatenate([[np.uint64(0)], np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[:n])])
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], _WORD[b], [False]])))
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
     start, end = edge[::2], edge[1::2]
     down = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, _INV, np.uint64))])
-    doc = np.searchsorted(first, start, "right") - 1
-    have = np.bincount(doc, minlength=len(texts)) > 0
-    for k in np.flatnonzero(~have & (sizes > 1)):  # no word: the whole text is one
-        start, end, doc = np.append(start, first[k]), np.append(end, first[k + 1] - 1), np.append(doc, k)
-    if len(start) > len(edge) // 2:
-        order = np.argsort(start, kind="stable")
-        start, end, doc = start[order], end[order], doc[order]
-    word = _mix((sums[end] - sums[start]) * down[start])
-    heavy = np.minimum(end - start, 9).astype(np.float64)
+    return start, end, (sums[end] - sums[start]) * down[start]
+
+
+def _tally(word: np.ndarray, heavy: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """Votes of n texts' term pairs, n x BITS, from their words' hashes, weights and texts, in order."""
     head = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
     before = np.where(head, np.uint64(7), np.roll(word, 1))
     weight = heavy * np.where(head, 2.0, np.roll(heavy, 1))
@@ -64,16 +56,30 @@ def _votes(texts: list[str]) -> np.ndarray:
     term = np.concatenate([before * np.uint64(3) + word * _P, word[tail] * np.uint64(3) + np.uint64(11)])
     weight = np.concatenate([weight, heavy[tail] * 2])
     base = np.concatenate([doc, doc[tail]]) * 256
-    out = np.empty((len(texts), BITS))
+    out = np.empty((n, BITS))
     for k in range(BITS // 64):
         h = _mix(term + np.uint64((k + 1) * 0x632BE59BD9B4E019 % (1 << 64)))
         for j in range(8):
             byte = (h >> np.uint64(8 * j)).astype(np.uint8)
-            held = np.bincount(base + byte, weights=weight, minlength=len(texts) * 256).reshape(-1, 256)
+            held = np.bincount(base + byte, weights=weight, minlength=n * 256).reshape(-1, 256)
             out[:, k * 64 + j * 8 : k * 64 + j * 8 + 8] = held @ _SIGNS
     return out
 
 
+def _votes(texts: list[str]) -> np.ndarray:
+    """Votes of each text, texts x BITS."""
+    raws = [t.encode("utf-8", "replace") for t in texts]
+    sizes = np.array([len(r) + 1 for r in raws])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    b = _FOLD[np.frombuffer(b"".join(r + b" " for r in raws), np.uint8)]
+    inside = _WORD[b]
+    have = np.add.reduceat(inside, first[:-1]) > 0
+    for k in np.flatnonzero(~have & (sizes > 1)):  # no word: the whole text is one
+        inside[first[k] : first[k + 1] - 1] = True
+    start, end, value = _runs(b, inside)
+    return _tally(_mix(value), np.minimum(end - start, 9).astype(np.float64), np.searchsorted(first, start, "right") - 1, len(texts))
+
+
 def fingerprints(texts: list[str]) -> np.ndarray:
     """Packed fingerprints (texts x BITS / 8). A tie of votes is a zero bit; an empty text has only zeros."""
     out, at = [], 0
@@ -82,20 +88,51 @@ def fingerprints(texts: list[str]) -> np.ndarray:
         while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP):
             size += len(texts[end])
             end += 1
-        out.append(np.packbits(_long(texts[at]) if end == at + 1 and size > 8 * GROUP else _votes(texts[at:end]) > 0, axis=1))
+        out.append(np.packbits((_long(texts[at]) if size > 8 * GROUP else _votes(texts[at:end])) > 0, axis=1))
         at = end
     return np.concatenate(out) if out else np.zeros((0, BITS // 8), np.uint8)
 
 
 def _long(text: str) -> np.ndarray:
-    """Votes of a very long text, added up over parts cut at spaces (the pairs across cuts are part ends)."""
-    total, at = np.zeros((1, BITS)), 0
-    while at < len(text):
-        cut = len(text) if len(text) - at <= GROUP else text.find(" ", at + GROUP)
-        cut = len(text) if cut < 0 else cut
-        total += _votes([text[at:cut]])
-        at = cut
-    return total > 0
+    """Votes of a very long text, the same as :func:`_votes`, added up over parts in bounded memory.
+
+    A word that a cut goes through is put together again, and each part begins with the last word of the part before; that word's own two terms
+    are taken off again.
+    """
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    step = GROUP
+    some = any(_WORD[_FOLD[raw[at : at + step]]].any() for at in range(0, len(raw), step))
+    total, last = np.zeros((1, BITS)), None
+    held, size = np.uint64(0), 0  # an open word's unmixed hash and bytes
+
+    def feed(value: np.ndarray, sizes: np.ndarray) -> None:
+        nonlocal total, last
+        word, heavy = _mix(value), np.minimum(sizes, 9).astype(np.float64)
+        if last is not None:
+            word, heavy = np.concatenate([last[0], word]), np.concatenate([last[1], heavy])
+            total -= _tally(*last, np.zeros(1, np.int64), 1)
+        total += _tally(word, heavy, np.zeros(len(word), np.int64), 1)
+        last = word[-1:], heavy[-1:]
+
+    for at in range(0, len(raw), step):
+        b = _FOLD[raw[at : at + step]]
+        start, end, value = _runs(b, _WORD[b] if some else np.ones(len(b), bool))
+        sizes = end - start
+        if size and len(start) and start[0] == 0:
+            shift = np.uint64(pow(int(_P), size, 1 << 64))
+            value[:1] = held + shift * value[:1]
+            sizes[0] += size
+        elif size:
+            value, sizes = np.concatenate([[held], value]), np.concatenate([[size], sizes])
+        size = 0
+        if len(end) and end[-1] == len(b):
+            held, size = value[-1], int(sizes[-1])
+            value, sizes = value[:-1], sizes[:-1]
+        if len(value):
+            feed(value, sizes)
+    if size:
+        feed(np.array([held], np.uint64), np.array([size]))
+    return total
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -115,7 +152,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     Texts are shuffled once, by ranges of the id; a task walks through its range in order. What crosses ranges, one document each,
     is joined afterwards. Columns: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
-    Null texts are empty; a null id comes first; ties of the id are ordered by a hash of the text. A single row is its own next one.
+    Null texts are empty; a null id comes first; ties of the id are ordered by a hash of the text. A single row is its own next one. Of repeated rows each is a document of its own. Texts of
+    any length are fingerprinted whole. An empty table gives no rows.
     """
     keyed = short_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ranged = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
@@ -181,8 +219,8 @@ def with_next(docs: DataFrame) -> DataFrame:
 def near_fingerprints(marks: DataFrame, queries: DataFrame, radius: int = 8) -> DataFrame:
     """All pairs of distinct fingerprints, one from ``queries`` and one from ``marks``, within ``radius`` bits.
 
-    Both have a column ``fingerprint`` of hexadecimal digits; repeated ones count once, and a fingerprint is not paired with itself.
-    Returns ``fingerprint, other, distance``. Each pair is kept by the first block in which it agrees.
+    Both have a column ``fingerprint`` of hexadecimal digits; repeated ones count once, and a fingerprint is not paired with itself. Null fingerprints match nothing, and an empty table gives no rows.
+    A fingerprint has the same length whatever the text's. Returns ``fingerprint, other, distance``. Each pair is kept by the first block in which it agrees.
     """
     digits = BITS // 4
     cuts = [round(k * digits / (radius + 1)) for k in range(radius + 2)]
@@ -201,13 +239,16 @@ def near_fingerprints(marks: DataFrame, queries: DataFrame, radius: int = 8) ->
     sooner = F.lit(False)
     for k, (lo, hi) in enumerate(bounds):
         sooner = sooner | (F.lit(k) < F.col("table")) & (F.substring("q", 1 + lo, hi - lo) == F.substring("m", 1 + lo, hi - lo))
-    joined = b.join(small(a, distinct.count() * len(bounds)), ["table", "block"])
+    joined = b.join(small(a), ["table", "block"])
     joined = joined.where((F.col("q") != F.col("m")) & ~sooner).withColumn("distance", distance).where(F.col("distance") <= radius)
     return joined.select(F.col("q").alias("fingerprint"), F.col("m").alias("other"), "distance")
 
 
 def near_counts(marks: DataFrame, queries: DataFrame, radius: int = 8) -> DataFrame:
-    """``fingerprint, n_near`` for the fingerprints of ``queries``: how many other documents have one within the radius. Equal fingerprints are found as one, and counted as many."""
+    """``fingerprint, n_near`` for the fingerprints of ``queries``: how many other documents have one within the radius. Equal fingerprints are found as one, and counted as many.
+
+    Null fingerprints have no row; no queries, or no documents, give no rows.
+    """
     sizes = marks.groupBy("fingerprint").agg(F.count("*").alias("c"))
     found = near_fingerprints(sizes, queries, radius).join(sizes.withColumnRenamed("fingerprint", "other"), "other")
     more = found.groupBy("fingerprint").agg(F.sum("c").alias("more"))
@@ -216,4 +257,5 @@ def near_counts(marks: DataFrame, queries: DataFrame, radius: int = 8) -> DataFr
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns for every document, by :func:`with_next`."""
     return with_next(read(spark, sf_dir, "documents"))
