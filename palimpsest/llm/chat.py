@@ -1,8 +1,10 @@
 """Chat formatting with budgeted windows (DataFrame and SQL functions only).
 
 A conversation becomes one or more windows of rendered turns. Prefix sums of the
-turns' token estimates choose spans that begin and end at turns and stay within
-the budget. Every window after the first repeats the system turn and a limited
+turns' tokens choose spans that begin and end at turns and stay within
+the budget. Tokens are counted in rendered turns: a control string is one token, and texts
+are cut into runs of at most four letters, single digits, runs of white space and single marks
+(:func:`token_count`), or counted beforehand by any tokenizer in a column of the input. Every window after the first repeats the system turn and a limited
 history; repeated turns carry no loss, so each assistant text is a target once.
 
 Template: ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts ``\\``
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import read
 
@@ -38,12 +41,14 @@ def unescape_role(role: str) -> str:
     return unescape(f"replace({role}, '<\\\\n', '\\n')")
 
 
-def chat_windows(
-    conversations: DataFrame, budget: int = 2048, history: int = 256, chars_per_token: int = 4, overhead: int = 4
-) -> DataFrame:
+def token_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(r"\p{L}{1,4}|\s+|[^\p{L}\s]"))
+
+
+def chat_windows(conversations: DataFrame, budget: int = 2048, history: int = 256, tokens: str | None = None) -> DataFrame:
     """Windows of all conversations.
 
-    Input: ``conv_id, turn, role, text``; other columns are ignored. Output, a row per
+    Input: ``conv_id, turn, role, text``, and with ``tokens`` a column of that name with the tokens of the rendered turn; other columns are ignored. Output, a row per
     window: ``conv_id, window, first_turn`` (position of the first turn that is new
     here), ``n_repeated`` (leading turns repeated from before), ``n_turns, tokens, text,
     loss`` (code-point spans ``[start, end)`` of the targets in ``text``).
@@ -53,12 +58,14 @@ def chat_windows(
     text; repeated rows are kept as turns. A single turn above the budget gets a
     window of its own, uncut. An empty table gives no rows. A conversation must fit in one row (2 GB).
     """
-    turns = conversations.select(
-        "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("tok", (F.ceil(F.length("text") / chars_per_token) + overhead).cast("long"))
-    packed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "tok"))).alias("raw"))
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    # rendered: <|im_start|>role\ntext<|im_end|>\n, of which the two control strings and the two line feeds are four tokens
+    tok = F.coalesce(F.col(tokens), F.lit(0)) if tokens else token_count(F.expr(escape_role("coalesce(role, '')"))) + token_count(F.expr(escape("coalesce(text, '')"))) + 4
+    turns = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), tok.cast("long").alias("tok"))
+    upto = F.sum("tok").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text", "tok").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    packed = turns.withColumn("upto", upto).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "tok", "upto"))).alias("raw"))
     # prefix sums: acc[i] holds the tokens before turn i
-    acc = "aggregate(raw, array(0L), (a, t) -> array_append(a, element_at(a, -1) + t.tok))"
+    acc = "concat(array(0L), transform(raw, t -> t.upto))"
     packed = packed.select(
         "conv_id", "raw", F.expr(acc).alias("acc"), F.size("raw").alias("n"),
         F.expr("if(size(raw) > 1 and raw[0].role = 'system', 1, 0)").alias("ns"),
@@ -118,6 +125,7 @@ def read_back(windows: DataFrame) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, read back from the windows' texts and loss spans."""
     hostile = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
