@@ -122,6 +122,48 @@ def test_simhash_edits_and_order(spark):
     assert np.mean([r.near_edited > r.near_next for r in long]) > 0.9
 
 
+def brute_fingerprint(text):
+    """SimHash, a bit and a term at a time."""
+    mask = (1 << 64) - 1
+
+    def mix(h):
+        h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ (h >> 27)) * 0x94D049BB133111EB & mask
+        return h ^ (h >> 31)
+
+    raw = bytes(c + 32 if 65 <= c <= 90 else c for c in text.encode())
+    words = re.findall(rb"[0-9a-z\x80-\xff]+", raw) or ([raw] if raw else [])
+    hashes = [mix(sum((c + 1) * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, c in enumerate(w)) & mask) for w in words]
+    heavy = [min(len(w), 9) for w in words]
+    terms = [(7 * 3 + hashes[0] * 0x9E3779B97F4A7C15, 2 * heavy[0]), (hashes[-1] * 3 + 11, 2 * heavy[-1])] if words else []
+    terms += [(a * 3 + b * 0x9E3779B97F4A7C15, x * y) for a, b, x, y in zip(hashes, hashes[1:], heavy, heavy[1:], strict=False)]
+    bits = []
+    for k in range(4):
+        mixed = [(mix((t + (k + 1) * 0x632BE59BD9B4E019) & mask), w) for t, w in terms]
+        bits += [sum(w if h >> (8 * (j // 8) + 7 - j % 8) & 1 else -w for h, w in mixed) > 0 for j in range(64)]
+    return np.packbits(bits).tobytes().hex()
+
+
+def test_simhash_equals_brute_force(spark):
+    rng = random.Random(20)
+    docs = [(k, sentence(rng, rng.randrange(0, 40))) for k in range(30)] + [(40, "É à, b!"), (41, "?? !"), (42, None), (43, "Same"), (44, "same")]
+    got = {r.doc_id: r for r in simhash.with_next(docs_of(spark, docs)).collect()}
+    marks = {k: brute_fingerprint(t or "") for k, t in docs}
+    assert {k: r.fingerprint for k, r in got.items()} == marks
+    equal = lambda a, b: 1 - bin(int(a, 16) ^ int(b, 16)).count("1") / 256
+    for (k, t), (n, following) in zip(docs, docs[1:] + docs[:1], strict=True):
+        t, following = t or "", following or ""
+        new = brute_fingerprint(t[: len(t) - len(t) // 2] + following[: len(t) // 2])
+        assert (got[k].near_next, got[k].edited_fingerprint, got[k].near_edited) == (equal(marks[k], marks[n]), new, equal(marks[k], new))
+
+
+def test_simhash_of_very_long_texts_is_that_of_the_whole(monkeypatch):
+    rng = random.Random(21)
+    monkeypatch.setattr(simhash, "GROUP", 50)
+    for text in [sentence(rng, 300), "a" * 500, "a" * 120 + " b" * 300, "?" * 430, "é, " * 200, sentence(rng, 60) + "!" * 200, "x" + " " * 700 + "y"]:
+        assert (simhash._long(text) == simhash._votes([text])).all()
+
+
 def test_simhash_search_finds_all_within_radius(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 256, (40, simhash.BITS // 8), dtype=np.uint8)
@@ -167,6 +209,16 @@ def test_packing_is_an_exact_round_trip(spark):
     assert all(sum(r.length for r in p) == p[0].doc_tokens for p in pieces.values())
 
 
+def test_fast_merges_give_the_tokenizers_ids():
+    tok, rng = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), keep=5000), random.Random(22)
+    words = [w.removesuffix("</w>") for w in tok.tok.get_vocab() if w.isascii()]
+    odd = ["".join(rng.choice("ab'sdté中1٣ -_.…😀́ﬁẞǅ\t\n") for _ in range(rng.randrange(30))) for _ in range(3000)]
+    odd += ["".join(rng.sample(words, 2)) + rng.choice("aeiou.!5") * rng.randrange(3) for _ in range(5000)] + ["x" * 3000, "ab" * 400]
+    for text in words + odd:
+        assert tok.ids_of(text).tolist() == tok.tok.encode(text, add_special_tokens=False).ids
+    assert len(tok) <= 5000
+
+
 def test_best_fill_is_optimal():
     rng = random.Random(6)
     for _ in range(200):
@@ -357,6 +409,49 @@ def test_line_dedup_finds_copies_and_blocks_behind_other_holders(spark):
     assert got[21].n_dropped == 0 and got[22].text == z
 
 
+def brute_lines(docs, min_words=8):
+    """Lines that go when every document is aligned with every earlier one."""
+    lines = {k: [x.strip(" \t\r") for x in (t or "").split("\n")] for k, t in docs}
+    size = lambda x: len(re.split(r"\s+", x)) if x else 0
+    held = Counter(x for v in lines.values() for x in set(v))
+    number = {x: n for n, x in enumerate(sorted(held), 1)}
+    number[""] = 0
+    out = {}
+    for k, late in lines.items():
+        gone = set()
+        for early in (v for i, v in lines.items() if i < k):
+            for s, e in linededup.aligned_blocks([number[x] for x in early], [number[x] for x in late]):
+                inner = [x for x in late[s:e] if x]
+                alone = len(inner) == 1 and held[inner[0]] > 50 and 2 * held[inner[0]] > len(lines) and 2 * size(inner[0]) < sum(map(size, late))
+                if sum(map(size, inner)) >= min_words and not alone:
+                    gone |= {x for x in range(s, e) if late[x]}
+        out[k] = sorted(gone)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_equals_the_alignment_of_all_pairs(spark, seed):
+    """Few distinct lines in random orders, many of them repeated: blocks cross, and often no early holder aligns them."""
+    rng = random.Random(seed)
+    pool = [sentence(rng, rng.choice([2, 3, 5, 9, 14])) for _ in range(14)] + ["", " \t"]
+    docs = [(k, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 12)))) for k in range(70)]
+    docs += [(100 + k, f"{pool[0]} {pool[1]} {pool[4]}\n{sentence(rng, 30)}") for k in range(100)]
+    want = brute_lines(docs)
+    got = {r.doc_id: list(r.drop) for r in linededup.repeated_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    assert {k: got.get(k, []) for k in want} == want and any(want.values())
+
+
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    rng = random.Random(16)
+    a, b, c = (sentence(rng, 12) for _ in range(3))
+    rows = [(1, f"{a}\n{b}"), (5, f"{c}\n{a}\n{b}"), (5, f"{a}\n{c}"), (5, f"{a}\n{c}"), (6, f"{c}\n{c}")]
+    got = sorted((r.doc_id, r.n_dropped, r.text) for r in linededup.dedup_lines(docs_of(spark, rows)).collect())
+    assert got == sorted([(1, 0, f"{a}\n{b}"), (5, 2, c), (5, 1, c), (5, 1, c), (6, 2, "")])  # one c of 6 is aligned with each version of 5
+    long = "\n".join(sentence(rng, 9) for _ in range(20000))
+    kept = {r.doc_id: r.n_dropped for r in linededup.dedup_lines(docs_of(spark, [(1, long), (2, f"x\n{long}\ny")])).collect()}
+    assert kept == {1: 0, 2: 20000}
+
+
 def test_patience_alignment_is_a_common_subsequence():
     rng = random.Random(12)
     for _ in range(1500):
@@ -403,9 +498,44 @@ def test_pii_contexts_find_unseen_identifiers(spark):
     assert got[50] == [("phone", at, at + 11)] and all(not v for k, v in got.items() if k != 50)
 
 
+def test_pii_found_instances_induce_patterns(spark):
+    """A number found behind one pattern makes another pattern, which finds the next number."""
+    rng = random.Random(15)
+    docs = [(k, f"{sentence(rng, 8)} telephone: +1 (0{k:02d}) 555-{1000 + k} {sentence(rng, 5)}") for k in range(12)]
+    docs += [(40, f"{sentence(rng, 5)} telephone: 555-0099-77 {sentence(rng, 3)}"), (41, f"room 101 {sentence(rng, 3)} 555-0099-77")]
+    docs += [(50 + k, f"{sentence(rng, 6)} handset: 555-0099-77 {sentence(rng, 4)}") for k in range(4)]
+    docs += [(60, f"{sentence(rng, 5)} handset: 555-0042-11 {sentence(rng, 3)}"), (61, f"{sentence(rng, 5)} item 555-0042-99 {sentence(rng, 3)}"), (62, "handset: 12")]
+    docs += [(70 + k, "serial 4444-1111-22 copied") for k in range(9)] + [(90, "serial 9999-1111-22 copied")]
+    got = {r.doc_id: [(pii.KINDS[s.k], s.s, s.e) for s in r.found] for r in pii.find_pii(docs_of(spark, docs)).collect()}
+    want = {k: [("phone", t.index(x), t.index(x) + 11)] for k, t in docs for x in ("555-0099-77", "555-0042-11") if x in t and k != 41}
+    assert {k: v for k, v in got.items() if v} == want and len(want) == 6
+
+
+def test_pii_of_rows_that_share_an_id(spark):
+    rows = [(1, "a@b.c x"), (1, "x 1.2.3.4"), (1, "x 1.2.3.4"), (2, None)]
+    got = sorted((r.doc_id, [(pii.KINDS[s.k], s.s, s.e) for s in r.base]) for r in pii.find_pii(docs_of(spark, rows)).collect())
+    assert got == [(1, [("email", 0, 5)]), (1, [("ip", 2, 9)]), (1, [("ip", 2, 9)]), (2, [])]
+
+
 # ---- classifiers ----
 
 
+def test_language_kernel_equals_brute_force():
+    rng = random.Random(18)
+    texts = ["".join(rng.choice("abcdé ") for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    sets = [{(t.lower().encode()[k : k + n]) for n in (1, 2, 3) for k in range(len(t.encode()) - n + 1)} for t in texts]
+    spectra = [langid.spectrum(t) for t in texts]
+    assert [len(s) for s in spectra] == [len(s) for s in sets]
+    want = np.array([[len(a & b) / math.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    assert np.allclose(langid.kernel(spectra, spectra), want)
+    model = langid.fit_ridge(spectra, ["x", "y"] * 20, 8, 0.01)
+    marks = [k for r in (0, 1) for k in range(r, 40, 2)[:8]]
+    weights = np.linalg.lstsq(want[:, marks], model.values(spectra), rcond=None)[0]
+    assert np.allclose(want[:, marks] @ weights, model.values(spectra), atol=1e-4)  # values are sums over landmarks' kernels
+    long = "ab" * 700000 + "ç"
+    assert set(langid.spectrum(long)) == set(langid.spectrum("abab" + "ç"))
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     from palimpsest.llm.langid import op8_langid
 
@@ -419,11 +549,11 @@ def test_language_accuracy_on_held_out_rows(spark):
 def test_language_of_odd_texts(spark):
     train = docs_of(spark, [(k, "the cat is here and " * 3) for k in range(9)] + [(20, None), (21, "le chat est ici et la " * 3)]).withColumn("lang", F.when(F.col("doc_id") > 20, "fr").when(F.col("doc_id") < 10, "en"))
     model = langid.fit(train)
-    rows = docs_of(spark, [(1, None), (2, ""), (3, "123 !!"), (4, "the cat and the"), (4, "le chat et la"), (None, "the " * 100000)])
+    rows = docs_of(spark, [(1, None), (2, ""), (3, "123 !!"), (4, "the cat and the"), (4, "le chat et la"), (None, "the " * 100000), (7, "² ½ ①")])
     got = Counter((r.doc_id, r.lang_pred) for r in langid.predict(rows, model, ["doc_id", "label"]).collect())
-    assert got == Counter([(1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "fr"), (None, "en")])
+    assert got == Counter([(1, "und"), (2, "und"), (3, "und"), (4, "en"), (4, "fr"), (None, "en"), (7, "und")])
     none = langid.fit(train.where("false"))
-    assert [r.lang_pred for r in langid.predict(rows, none, ["doc_id"]).collect()] == ["und"] * 6
+    assert [r.lang_pred for r in langid.predict(rows, none, ["doc_id"]).collect()] == ["und"] * 7
 
 
 def test_quality_on_held_out_rows(spark):
