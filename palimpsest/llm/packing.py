@@ -12,10 +12,10 @@ less than ``pool_tokens`` plus one document.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import unicodedata
+from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -28,79 +28,65 @@ from pyspark.sql import functions as F
 from .common import read, short_batches, WORKER_CACHES
 
 CAPACITY, END_ID = 4096, 2
-GROUP = 1 << 16  # characters tokenized together: their words stay in the processor's caches
+HELD_IDS = 1 << 18  # ids of finished sequences that a worker holds before it gives them on
 #: Texts with these are encoded directly: special tokens, a letter whose lower case depends on its place, rare spaces.
-_DIRECT = re.compile("<\\|startoftext\\|>|<\\|endoftext\\|>|Σ|İ|[\x1c-\x1f\x85]")
+_DIRECT = ("<|startoftext|>", "<|endoftext|>", "Σ", "İ", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
+LONG_CHUNK = 1000  # characters; longer chunks without white space are not cached
 
 
-class WordTokenizer:
-    """Ids of the word-end BPE vocabulary, with a bounded cache of the ids of single pieces.
+class WordTokenizer(dict):
+    """Ids of the word-end BPE vocabulary, with a bounded cache of the ids of chunks between white space.
 
     The vocabulary lower-cases, drops white space and cuts texts into runs of letters, single
     digits and runs of marks before it merges, and each such piece ends with an end-of-word id. So a text's
     ids are those of the chunks between white space one after the other, and theirs those of their pieces. Most
-    chunks repeat; only new pieces go through the tokenizer, many at a time.
+    chunks repeat. A new one goes through the same merges in a faster implementation: pieces hold no space, so a space stands
+    for the end of a word there. That one merges any two neighbours whose joined bytes are a token, this vocabulary only listed pairs;
+    as each token comes out of the merges of its own bytes, both give the same ids.
     """
 
-    def __init__(self, path: str, keep: int = 300_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000) -> None:
+        super().__init__()
         import regex
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_file(path)
-        plain = json.loads(self.tok.to_str())  # for pieces, which are normal and split already
-        plain["normalizer"] = None
-        plain["pre_tokenizer"]["pretokenizers"][0] = {"type": "WhitespaceSplit"}
-        self.plain = Tokenizer.from_str(json.dumps(plain))
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tok, self.keep = Tokenizer.from_file(path), keep
+        # the byte that each letter of the vocabulary's spelling stands for
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(plain)))}
+        assert set(letters) == set(ByteLevel.alphabet())
+        special = set(self.tok.get_added_tokens_decoder())
+        ranks = {}
+        for word, i in self.tok.get_vocab().items():
+            if i not in special:
+                ranks[bytes(letters[c] for c in word.removesuffix("</w>")) + b" " * word.endswith("</w>")] = i
+        self.fast = tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
-        last = np.zeros(self.tok.get_vocab_size() + 1, bool)
-        for word, i in self.tok.get_vocab().items():
-            last[i] = word.endswith("</w>")
-        self.last, self.keep, self.known = last, keep, {}
-
-    def _learn(self, new: list[str]) -> None:
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part):  # a piece with another number of ends: one by one
-                for p in part:
-                    self.known[p] = np.array(self.tok.encode(p, add_special_tokens=False).ids, "<u4").tobytes()
-                continue
-            raw, at = ids.astype("<u4").tobytes(), 0
-            for p, e in zip(part, (ends * 4).tolist(), strict=True):
-                self.known[p] = raw[at:e]
-                at = e
-
-    def ids_of(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text; new chunks between white space, and new pieces in them, are encoded together."""
-        split: list[list[str] | None] = []
-        for text in texts:
-            if _DIRECT.search(text):
-                split.append(None)
-            else:
-                split.append((text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split())
-        known = self.known
-        got = [chunks and list(map(known.get, chunks)) for chunks in split]
-        new = {c for chunks, ids in zip(split, got, strict=True) if ids and None in ids for c, x in zip(chunks, ids, strict=True) if x is None}
-        if new:
-            if len(known) + 2 * len(new) > self.keep:
-                known.clear()
-            mixed = {c: self.ascii_pieces(c) if c.isascii() else self.pieces(c) for c in new if not c.isalpha()}
-            self._learn(list((new - mixed.keys()).union(*mixed.values()).difference(known)))
-            for c, pieces in mixed.items():
-                known[c] = b"".join([known[p] for p in pieces])
-        out = []
-        for text, chunks, ids in zip(texts, split, got, strict=True):
-            if chunks is None:
-                out.append(np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4"))
-            else:
-                if None in ids:
-                    ids = [known[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
-                out.append(np.frombuffer(b"".join(ids), "<u4"))
-        return out
+
+    def __missing__(self, chunk: str) -> bytes:
+        """Ids of a chunk that is not in the cache, as little-endian unsigned 32-bit numbers."""
+        if len(chunk) > LONG_CHUNK:
+            return np.array(self.tok.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        if not chunk.isalpha():
+            chunks = " ".join(self.ascii_pieces(chunk) if chunk.isascii() else self.pieces(chunk))
+        else:
+            chunks = chunk
+        ids = array("I", self.fast(chunks + " ")).tobytes()
+        if len(self) >= self.keep:
+            self.clear()
+        self[chunk] = ids
+        return ids
+
+    def ids_of(self, text: str) -> np.ndarray:
+        if any(x in text for x in _DIRECT):
+            return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4")
+        chunks = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
+        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), "<u4")
 
 
 _tokenizers: dict[str, WordTokenizer] = {}
@@ -230,24 +216,18 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
             out = pd.DataFrame(got, columns=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
             return out.astype({"doc_id": "Int64"})
 
-        def groups(batch: pd.DataFrame) -> Iterator[tuple[list, list[str]]]:
-            docs, texts, size = [], [], 0
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-                docs.append(None if pd.isna(doc) else int(doc))
-                texts.append(text or "")
-                size += len(texts[-1])
-                if size > GROUP:
-                    yield docs, texts
-                    docs, texts, size = [], [], 0
-            yield docs, texts
-
         for batch in batches:
-            for docs, texts in groups(batch):
-                got = []
-                for doc, ids in zip(docs, tok.ids_of(texts), strict=True):
-                    got += rows(packer.add(doc, np.concatenate([ids, end])))
-                if got:
-                    yield frame(got)
+            got, size = [], 0
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                ids = np.concatenate([tok.ids_of(text or ""), end])
+                got += rows(packer.add(None if pd.isna(doc) else int(doc), ids))
+                size += len(ids)
+                if size > HELD_IDS:
+                    if got:
+                        yield frame(got)
+                    got, size = [], 0
+            if got:
+                yield frame(got)
         if got := list(rows(packer.finish())):
             yield frame(got)
 
