@@ -122,10 +122,18 @@ def slots(based: DataFrame) -> DataFrame:
 def context_counts(docs: DataFrame, patterns: DataFrame) -> DataFrame:
     """``pattern, total``: how often each of the given patterns stands around any word, over all texts."""
     words = docs.select(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+", -1), lambda w: w != "").alias("w"))
-    at = words.select("w", F.posexplode("w").alias("k", "word"))
-    here = _patterns("get(w, k - 2)", "get(w, k - 1)", "get(w, k + 1)")
-    both = at.select(F.explode(F.expr(here)).alias("pattern"))
-    return both.join(small(patterns), "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("total"))
+    words = words.withColumn("n", F.size("w"))
+    around = "arrays_zip(concat(array(null, null), slice(w, 1, greatest(n - 2, 0))), concat(array(null), slice(w, 1, greatest(n - 1, 0))), slice(w, 2, greatest(n - 1, 0)))"
+    at = words.select(F.explode(F.expr(around)).alias("c")).select(F.col("c.0").alias("l2"), F.col("c.1").alias("l1"), F.col("c.2").alias("r1"))
+    parts = F.split("pattern", " ")
+    # places after a word that some pattern has there, and only then the patterns themselves; words after a place are counted as words
+    left = patterns.select(F.expr("case split(pattern, ' ')[0] when '<' then split(pattern, ' ')[1] when '<<' then split(pattern, ' ')[2] when '<>' then split(pattern, ' ')[1] end").alias("l1"))
+    left = at.join(small(left.where("l1 is not null").distinct()), "l1", "left_semi").select(F.explode(F.expr(_patterns("l2", "l1", "cast(null as string)").replace("), p ->", ", concat('<> ', l1, ' ', r1)), p ->"))).alias("pattern"))
+    left = left.join(small(patterns), "pattern", "left_semi")
+    after = words.select(F.explode(F.expr("slice(w, 2, greatest(n - 1, 0))")).alias("r1"))
+    right = patterns.where(parts[0] == ">").select(parts[1].alias("r1"))
+    right = after.join(small(right), "r1", "left_semi").select(F.concat(F.lit("> "), "r1").alias("pattern"))
+    return left.unionByName(right).groupBy("pattern").agg(F.count("*").alias("total"))
 
 
 def discover(docs: DataFrame, found: DataFrame, support: int = 3, rounds: int = 5, confidence: float = 0.6) -> DataFrame:
