@@ -13,9 +13,15 @@ MIN_WORDS = 7
 
 
 def shingle_table(docs: DataFrame, key: str = "doc_id", extra: list[str] | None = None) -> DataFrame:
-    """Distinct five-word shingles of each text: ``key, extra, shingle`` (a 64-bit hash)."""
-    grams = F.array_distinct(T.grams(T.norms(F.col("text")), K))
-    return docs.select(key, *(extra or []), F.explode(grams).alias("gram")).select(key, *(extra or []), F.xxhash64("gram").alias("shingle"))
+    """Distinct five-word shingles of each text: ``key, extra, shingle`` (a 64-bit hash of its words' hashes). Words are hashed before they are joined, so no string is built for a shingle."""
+
+    def runs(h: Column) -> Column:
+        # the five words from each place on, side by side
+        ahead = [F.slice(h, F.lit(1 + k), F.greatest(F.size(h) - (K - 1), F.lit(0))) for k in range(K)]
+        return F.array_distinct(F.transform(F.arrays_zip(*(x.alias(f"w{k}") for k, x in enumerate(ahead))), lambda w: F.xxhash64(*(w[f"w{k}"] for k in range(K)))))
+
+    hashes = F.transform(T.norms(F.col("text")), lambda w: F.xxhash64(w))
+    return docs.select(key, *(extra or []), F.explode(T.let(hashes, runs)).alias("shingle"))
 
 
 def shingle_frequency(docs: DataFrame) -> DataFrame:

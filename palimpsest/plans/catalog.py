@@ -434,7 +434,7 @@ def search_phrases(spark: SparkSession, sf: str) -> DataFrame:
 def database_queries(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf)
     lexicon = authorship.corpus_lexicon(d)
-    return search.database_queries(search.search_phrases(d, lexicon), search.top_keywords(d, lexicon))
+    return search.database_queries(search.search_phrases(d, lexicon), search.top_keywords(d, lexicon, 6))
 
 
 # ---- authorship ----
