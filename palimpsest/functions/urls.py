@@ -23,11 +23,11 @@ def _recoded(part: Column) -> Column:
 def normalize(url: Column) -> Column:
     """One spelling for a page: https, lower-case host without ``www.`` and then ``m.``, no tracking keys, query sorted by key, no fragment, no slash at the end.
 
-    What is no absolute URL comes back unchanged.
+    A URL without a scheme or host gets https all the same (``example.org/x`` is a path); what cannot be parsed comes back unchanged.
     """
-    authority = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
+    authority = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     authority = F.regexp_replace(F.regexp_replace(authority, r"^www\.", ""), r"^m\.", "")
-    path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     pairs = F.transform(
         F.filter(F.split(query, "&"), lambda p: p != ""),
@@ -35,8 +35,14 @@ def normalize(url: Column) -> Column:
     )
     kept = F.array_sort(F.filter(pairs, lambda p: ~p["k"].rlike(TRACKING)))
     encoded = F.array_join(F.transform(kept, lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
-    full = F.concat(F.lit("https://"), authority, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), encoded)).otherwise(""))
-    return F.when(authority == "", url).otherwise(F.regexp_replace(full, "/$", ""))
+    tail = F.when(F.size(kept) > 0, F.concat(F.lit("?"), encoded)).otherwise("")
+    bare = F.regexp_extract(url, r"^([^?#]*)", 1)
+    opaque = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*:([^/].*)$", 1)
+    rootless = F.when(opaque != "", F.concat(F.lit("https:"), opaque)).when(bare == "", "https:")
+    rootless = rootless.otherwise(F.concat(F.lit("https://"), F.regexp_replace(bare, r"^[A-Za-z][A-Za-z0-9+.-]*:/{0,2}(?=/|$)", "")))
+    full = F.concat(F.when(authority == "", rootless).otherwise(F.concat(F.lit("https://"), authority, path)), tail)
+    broken = url.rlike(r"[\x00-\x1f\x7f]|^:|^[^A-Za-z/?#][^/?#]*:|^[^:/?#]*[^A-Za-z0-9+.:/?#-][^:/?#]*:")
+    return F.when(broken, url).otherwise(F.regexp_replace(full, "/$", ""))
 
 
 def is_publication(url: Column) -> Column:

@@ -13,11 +13,21 @@ from ..functions import lists, urls
 from ..functions import text as T
 
 
+def word_zipf(words: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``word, zipf`` of the distinct words of ``words`` that the lexicon has, or has up to their first apostrophe."""
+    vocabulary = words.select("word").distinct()
+    direct = vocabulary.join(lexicon, "word")
+    prefix = F.substring_index("word", "'", 1)
+    cut = vocabulary.where((F.instr("word", "'") > 1)).join(lexicon, "word", "left_anti").select("word", prefix.alias("stem"))
+    return direct.select("word", "zipf").unionByName(cut.join(lexicon.withColumnRenamed("word", "stem"), "stem").select("word", "zipf"))
+
+
 def top_keywords(docs: DataFrame, lexicon: DataFrame, n: int = 8) -> DataFrame:
     """``doc_id, rank, word, score``: frequent rare words; ties by the word."""
     words = docs.select("doc_id", F.explode(T.norms(F.col("text"))).alias("word"))
     words = words.where((F.octet_length("word") >= 4) & ~F.col("word").rlike("^[0-9]+$") & ~F.col("word").isin(lists.STOPWORDS))
-    counts = words.groupBy("doc_id", "word").agg(F.count("*").alias("c")).join(lexicon, "word", "left")
+    counts = words.groupBy("doc_id", "word").agg(F.count("*").alias("c"))
+    counts = counts.join(word_zipf(counts, lexicon), "word", "left")
     z = F.when(F.coalesce("zipf", F.lit(0.0)) == 0, 2.0).otherwise(F.col("zipf"))
     scored = counts.select("doc_id", "word", F.round(F.col("c") * (7 - z), 6).alias("score"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("score"), "word")
@@ -52,7 +62,8 @@ def phrase_candidates(docs: DataFrame) -> DataFrame:
 def search_phrases(docs: DataFrame, lexicon: DataFrame, most: int = 40) -> DataFrame:
     """``doc_id, bucket, pos, phrase``: all candidates if there are at most ``most``, else the most distinctive of each of ``most`` buckets in order, the first of equal ones."""
     cands = phrase_candidates(docs)
-    words = cands.select("doc_id", "pos", F.explode("norms").alias("word")).join(lexicon, "word", "left")
+    words = cands.select("doc_id", "pos", F.explode("norms").alias("word"))
+    words = words.join(word_zipf(words, lexicon), "word", "left")
     gain = F.when(F.col("word").isin(lists.STOPWORDS), 0.0).otherwise(F.greatest(F.lit(0.0), 6 - F.coalesce("zipf", F.lit(0.0))))
     score = words.groupBy("doc_id", "pos").agg((F.sum(gain) / F.count("*")).alias("score"))
     n = F.count("*").over(Window.partitionBy("doc_id"))

@@ -454,11 +454,11 @@ def dense_features(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def ai_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Scores of windows by a model trained on the quality labels of the documents whose id is odd."""
+    """Scores of windows by a model trained on the quality labels of all documents that have one."""
     d = documents(spark, sf).select("doc_id", "text")
     rows = authorship.vectors(authorship.featurize(d, authorship.corpus_lexicon(d)))
     labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = authorship.train(rows.join(labels, "doc_id").where("doc_id % 2 = 1"), iterations=20)
+    model = authorship.train(rows.join(labels, "doc_id"))
     return authorship.score_windows(rows, model).select("doc_id", "win", F.round("p", 6).alias("p"))
 
 

@@ -49,9 +49,9 @@ def test_html():
 
 
 def test_urls(spark):
-    given = ["HTTP://www.m.Example.com/a/?b=2&utm_x=1&a=1&b=1#f", "https://example.com/", "nonsense", "https://e.com/?k&z=a b*~", "https://e.com/p?utm_a=1"]
+    given = ["HTTP://www.m.Example.com/a/?b=2&utm_x=1&a=1&b=1#f", "https://example.com/", "nonsense", "https://e.com/?k&z=a b*~", "https://e.com/p?utm_a=1", "example.org/x?b=1", "//www.e.org/y/", "mailto:a@b.c", "not a scheme:x", ""]
     df = spark.createDataFrame([(k, u) for k, u in enumerate(given)], "k int, u string").orderBy("k")
-    assert [r.n for r in df.select(urls.normalize(F.col("u")).alias("n")).collect()] == ["https://example.com/a/?a=1&b=2&b=1", "https://example.com", "nonsense", "https://e.com/?k=&z=a+b%2A~", "https://e.com/p"]
+    assert [r.n for r in df.select(urls.normalize(F.col("u")).alias("n")).collect()] == ["https://example.com/a/?a=1&b=2&b=1", "https://example.com", "https://nonsense", "https://e.com/?k=&z=a+b%2A~", "https://e.com/p", "https://example.org/x?b=1", "https://e.org/y", "https:a@b.c", "not a scheme:x", "https:"]
     kinds = spark.createDataFrame([("https://www.mit.edu/x.pdf",), ("https://doi.org/1",), ("https://netflix.com/",)], "u string")
     assert [r.c for r in kinds.select(urls.classify(F.col("u")).alias("c")).collect()] == ["Publication", "Publication", "Internet"]
     assert [r.c for r in kinds.select(urls.is_skipped(F.col("u")).alias("c")).collect()] == [False, False, True]
