@@ -113,12 +113,37 @@ def _sentence_table(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n int, start int, end int, sentence string, cited boolean")
 
 
-@query()
+_SPACE = "chr(32) || chr(9) || chr(13) || chr(12) || chr(11)"
+_BLANK = "[ \\t\\r\\f\\v]"
+
+
+def _sentence_sql(docs: str) -> str:
+    """Tables ``ln`` (lines: ``doc_id, i, line, spot``) and ``snt`` (``doc_id, i, n, start, end, sentence``) of a table of texts; offsets in bytes."""
+    return f"""ln AS (SELECT doc_id, i, line, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot
+  FROM (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i, unnest(string_split(text, chr(10))) AS line FROM {docs})),
+ps AS (SELECT doc_id, i, spot, ps, unnest(range(1, len(ps) + 1)) AS k FROM (SELECT *, regexp_extract_all(line, '[^.!?]+|[.!?][.!?"'')\\]]*[”’]*') AS ps FROM ln)),
+pc AS (SELECT doc_id, i, spot, k, ps[k] AS part, contains('.!?', left(ps[k], 1)) AND (k = len(ps) OR regexp_matches(ps[k + 1], '^{_BLANK}')) AND (left(ps[k], 1) <> '.' OR NOT (
+    lower(regexp_extract(right(array_to_string(list_slice(ps, greatest(1, k - 40), k - 1), ''), 40), '[A-Za-z0-9.]*$')) IN ({_list(lists.ABBREVIATIONS)})
+    OR regexp_matches(lower(regexp_extract(right(array_to_string(list_slice(ps, greatest(1, k - 40), k - 1), ''), 40), '[A-Za-z0-9.]*$')), '^[a-z]$')
+    OR regexp_matches(coalesce(ps[k + 1], ''), '^{_BLANK}*[a-z]'))) AS ends FROM ps),
+gr AS (SELECT *, coalesce(sum(CAST(ends AS INTEGER)) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g,
+  coalesce(sum(strlen(part)) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM pc),
+jn AS (SELECT doc_id, i, g, any_value(spot) + min(ahead) AS spot, string_agg(part, '' ORDER BY k) AS raw FROM gr GROUP BY doc_id, i, g),
+snt AS (SELECT doc_id, i, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, g) - 1 AS INTEGER) AS n, CAST(spot + strlen(raw) - strlen(ltrim(raw, {_SPACE})) AS INTEGER) AS "start",
+  CAST(spot + strlen(raw) - strlen(ltrim(raw, {_SPACE})) + strlen(trim(raw, {_SPACE})) AS INTEGER) AS "end", trim(raw, {_SPACE}) AS sentence FROM jn WHERE trim(raw, {_SPACE}) <> '')"""
+
+
+_CITED = lists.CITATION.replace("'", "''")
+_IS_CITED = f"(regexp_matches(lower(sentence), '{_CITED}') OR regexp_matches(sentence, '{_CITED}') OR coalesce(strlen(nxt) < 40 AND regexp_matches(nxt, '{_CITED}'), false))"
+
+
+@query(f'WITH {_sentence_sql("documents")} SELECT doc_id, n, "start", "end", sentence FROM snt')
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
     return _sentence_table(documents(spark, sf)).drop("cited")
 
 
-@query()
+@query(f"""WITH {_ENRICHED}, {_sentence_sql("e")}, nx AS (SELECT *, lead(sentence) OVER (PARTITION BY doc_id ORDER BY n) AS nxt FROM snt)
+SELECT doc_id, n, "start", "end" FROM nx WHERE {_IS_CITED}""")
 def cited_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return _sentence_table(enriched(spark, sf)).where("cited").select("doc_id", "n", "start", "end")
 
@@ -136,7 +161,19 @@ def bibliography_start(spark: SparkSession, sf: str) -> DataFrame:
     return last.select("doc_id", F.when(F.col("start") >= F.floor(F.col("n") * 2 / 5), F.col("start")).otherwise(-1).cast("long").alias("bib_start"))
 
 
-@query()
+_BIB = f"""h0 AS (SELECT doc_id, arg_max(spot, i) AS start FROM ln WHERE regexp_matches(line, '(?i)^[ \\t]*({lists.HEADINGS})[ \\t]*:?[ \\t]*$') GROUP BY doc_id),
+bs AS (SELECT doc_id, h0.start AS bib FROM h0 JOIN (SELECT doc_id, max(spot + strlen(line)) AS size FROM ln GROUP BY doc_id) USING (doc_id) WHERE h0.start >= size * 2 // 5)"""
+
+
+@query(f"""WITH RECURSIVE {_ENRICHED}, {_sentence_sql("e")},
+qp AS (SELECT doc_id, i, spot, ps, unnest(range(1, len(ps) + 1)) AS k FROM (SELECT *, regexp_extract_all(line, '[“«”»"]|[^“«”»"]+') AS ps FROM ln WHERE regexp_matches(line, '[“«”»"]'))),
+qo AS (SELECT doc_id, i, spot + coalesce(sum(strlen(ps[k])) OVER (PARTITION BY doc_id, i ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s, ps[k] AS ch FROM qp),
+qm AS (SELECT doc_id, i, s, ch, row_number() OVER (PARTITION BY doc_id, i ORDER BY s) AS k FROM qo WHERE contains('“«”»"', ch)),
+st AS (SELECT doc_id, i, 0::BIGINT AS k, NULL::BIGINT AS opened, NULL::BIGINT AS f, NULL::BIGINT AS t FROM (SELECT DISTINCT doc_id, i FROM qm)
+  UNION ALL SELECT qm.doc_id, qm.i, qm.k, CASE WHEN ch IN ('“', '«') OR ch = '"' AND opened IS NULL THEN s END,
+    CASE WHEN NOT (ch IN ('“', '«') OR ch = '"' AND opened IS NULL) THEN opened END, CASE WHEN NOT (ch IN ('“', '«') OR ch = '"' AND opened IS NULL) AND opened IS NOT NULL THEN s + strlen(ch) END
+  FROM st JOIN qm ON qm.doc_id = st.doc_id AND qm.i = st.i AND qm.k = st.k + 1)
+SELECT doc_id, CAST(f AS INTEGER) AS "start", CAST(t AS INTEGER) AS "end" FROM st WHERE t IS NOT NULL""")
 def quote_spans(spark: SparkSession, sf: str) -> DataFrame:
     def run(batches):  # noqa: ANN001, ANN202
         import pandas as pd
@@ -424,13 +461,26 @@ def top_keywords(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_keywords(d, authorship.corpus_lexicon(d))
 
 
-@query()
+_PHRASES = rf"""{_TOK}, {_sentence_sql("documents")}, {_BIB},
+zipf AS (SELECT word, round(log10(n / total * 1e9), 3) AS zipf FROM (SELECT word, count(*) AS n, sum(count(*)) OVER () AS total FROM (SELECT unnest(w) AS word FROM tok) GROUP BY word)),
+cd AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS pos, list_slice(raw, (len(raw) - 14) // 2 * CAST(len(raw) > 14 AS INTEGER) + 1, (len(raw) - 14) // 2 * CAST(len(raw) > 14 AS INTEGER) + 14) AS raw
+  FROM (SELECT snt.*, regexp_extract_all(sentence, '[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}''’{lists.INVISIBLE}]*') AS raw FROM snt LEFT JOIN bs ON bs.doc_id = snt.doc_id WHERE bib IS NULL OR bib > "start") WHERE len(raw) >= 8),
+cw AS (SELECT doc_id, pos, rtrim({_CLEAN.format('r')}, chr(39)) AS word FROM (SELECT doc_id, pos, unnest(raw) AS r FROM cd)),
+sc AS (SELECT doc_id, pos, sum(CASE WHEN word IN ({_list(lists.STOPWORDS)}) THEN 0 ELSE greatest(0, 6 - coalesce(zipf, 0)) END) / count(*) AS score FROM cw LEFT JOIN zipf USING (word) GROUP BY 1, 2),
+bk AS (SELECT doc_id, pos, array_to_string(raw, ' ') AS phrase, score, count(*) OVER (PARTITION BY doc_id) AS n FROM cd JOIN sc USING (doc_id, pos)),
+bp AS (SELECT *, CAST(CASE WHEN n <= 40 THEN pos ELSE (pos * 40 + 39) // n END AS INTEGER) AS bucket FROM bk),
+ph AS (SELECT doc_id, bucket, pos, phrase FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, bucket ORDER BY round(score, 9) DESC, pos) AS k FROM bp) WHERE k = 1)"""
+
+
+@query(f"WITH {_PHRASES} SELECT doc_id, bucket, pos, phrase FROM ph")
 def search_phrases(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf)
     return search.search_phrases(d, authorship.corpus_lexicon(d))
 
 
-@query()
+@query(f"""WITH {_PHRASES}, kw AS (SELECT doc_id, array_to_string(list(word ORDER BY rank), ' ') AS query FROM ({SQL["top_keywords"]}) WHERE rank <= 6 GROUP BY doc_id),
+qs AS (SELECT doc_id, -1 AS pos, query FROM kw UNION ALL SELECT doc_id, bucket, phrase FROM ph WHERE bucket % 4 = 0)
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, query FROM (SELECT doc_id, query, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS rank FROM qs) WHERE rank <= 6""")
 def database_queries(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf)
     lexicon = authorship.corpus_lexicon(d)
@@ -440,7 +490,12 @@ def database_queries(spark: SparkSession, sf: str) -> DataFrame:
 # ---- authorship ----
 
 
-@query()
+@query(f"""WITH {_ENRICHED}, {_sentence_sql("e")}, {_BIB},
+pg AS (SELECT doc_id, i, spot + strlen(line) - strlen(ltrim(line, {_SPACE})) AS spot, trim(line, {_SPACE}) AS p, len({_norms("line")}) AS n FROM ln WHERE trim(line, {_SPACE}) <> ''),
+ok AS (SELECT pg.doc_id, pg.i FROM pg LEFT JOIN bs ON bs.doc_id = pg.doc_id JOIN (SELECT doc_id, i, count(*) AS c FROM snt GROUP BY 1, 2) c ON c.doc_id = pg.doc_id AND c.i = pg.i
+  WHERE (bib IS NULL OR bib > spot) AND NOT (n < 40 AND regexp_matches(p, '{lists.BULLET}')) AND length(p) - length(replace(p, chr(9), '')) < 2 AND length(p) - length(replace(p, '|', '')) < 2
+  AND NOT (n < 12 AND NOT contains('.!?"' || chr(39), right(p, 1))) AND NOT (c = 1 AND n < 25))
+SELECT doc_id, CAST(count(*) AS BIGINT) AS sentences, CAST(sum(w) AS BIGINT) AS words FROM (SELECT snt.doc_id, len({_norms("sentence")}) AS w FROM snt JOIN ok ON ok.doc_id = snt.doc_id AND ok.i = snt.i) WHERE w >= 4 GROUP BY doc_id""")
 def qualifying_words(spark: SparkSession, sf: str) -> DataFrame:
     return authorship.sentence_words(enriched(spark, sf)).groupBy("doc_id").agg(F.count("*").alias("sentences"), F.sum("words").alias("words"))
 
