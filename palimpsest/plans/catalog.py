@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lists, urls
 from ..functions import text as T
-from ..operators import align, authorship, overlap, report, search, store
+from ..operators import align, authorship, checks, overlap, report, search, store
 from ..sources import connectors
 from ..sources import html as pages_of
 
@@ -593,3 +593,101 @@ def update_status(spark: SparkSession, sf: str) -> DataFrame:
     rows = documents(spark, sf).select(F.col("doc_id").alias("id"), F.lit("done").alias("status"))
     changed = rows.where("id % 10 = 0").select("id", F.lit("error").alias("status"))
     return store.delete_rows(store.update_rows(rows, changed, ["status"]), rows.where("id % 17 = 0").select("id"))
+
+
+# ---- papers: submission, check, lists ----
+
+_NOW = "2024-03-01 12:00:00"
+
+
+def _papers(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as handed in: file names made of a text's first characters, every fourth pasted, every fifth with an author, every third with a title."""
+    d, k = documents(spark, sf), F.col("doc_id")
+    name = F.when(k % 4 == 0, "").otherwise(F.concat(F.expr("left(text, 25)"), F.lit("_"), F.col("lang"), F.lit(".txt")))
+    files = d.select(k.alias("id"), F.col("source").alias("assignment"), name.alias("name"), "text", F.when(k % 5 == 0, " Doe, J. ").alias("author"), F.when(k % 3 == 0, F.col("lang")).alias("title"))
+    return checks.submissions(files, _NOW)
+
+
+_PAPERS = f"""{_TOK}, nm AS (SELECT doc_id AS id, source AS assignment, CASE WHEN doc_id % 4 = 0 THEN '' ELSE coalesce(left(text, 25) || '_' || lang || '.txt', '') END AS name, coalesce(text, '') AS text, lang FROM documents),
+bn AS (SELECT *, regexp_replace(name, '\\.[^.]*$', '') AS base FROM nm),
+gs AS (SELECT *, regexp_extract_all(translate(base, '_-.', '   '), '[^\\s]+') AS f FROM bn),
+papers AS (SELECT id, assignment, name, CASE WHEN id % 3 = 0 AND regexp_matches(lang, '[^\\s]') THEN lang WHEN regexp_matches(base, '[^\\s]') THEN base ELSE '' END AS title,
+  CASE WHEN id % 5 = 0 THEN 'Doe, J.' WHEN len(f) >= 2 THEN f[1] || ' ' || f[2] ELSE '' END AS author, CAST(len(w) AS BIGINT) AS words, CAST(length(text) AS BIGINT) AS chars,
+  CASE WHEN name = '' AND len(w) < 20 THEN 'error' ELSE 'queued' END AS status FROM gs JOIN tok ON tok.doc_id = id)"""
+
+
+@query(f"WITH {_PAPERS} SELECT id, assignment, name, title, author, words, chars, status FROM papers")
+def submissions(spark: SparkSession, sf: str) -> DataFrame:
+    return _papers(spark, sf).drop("text", "uploaded")
+
+
+@query("SELECT count(DISTINCT doc_id) AS papers FROM documents")
+def repository_size(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.repository_size(documents(spark, sf))
+
+
+@query("""SELECT doc_id AS id, lag(doc_id) OVER w AS previous, lead(doc_id) OVER w AS next FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id DESC)""")
+def paper_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.neighbours(_assignments(spark, sf)[1]).select("id", "previous", "next")
+
+
+@query(f"SELECT cohort, a, b, words, CAST(row_number() OVER (PARTITION BY cohort ORDER BY words DESC, a, b) AS INTEGER) AS rank FROM ({SQL['cohort_overlap_exact']})")
+def ranked_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.ranked_pairs(cohort_overlap_exact(spark, sf)).select("cohort", "a", "b", "words", "rank")
+
+
+@query(f"""SELECT doc_id, CASE WHEN index_exact > 0 AND index_exact < 1 THEN '<1%' ELSE CAST(floor(index_exact + 0.5) AS BIGINT) || '%' END AS shown,
+CASE WHEN index_percent = 0 THEN 'none' WHEN index_percent < 25 THEN 'low' WHEN index_percent < 50 THEN 'medium' WHEN index_percent < 75 THEN 'high' ELSE 'very high' END AS band
+FROM ({SQL["similarity_index"]})""")
+def index_display(spark: SparkSession, sf: str) -> DataFrame:
+    return similarity_index(spark, sf).select("doc_id", checks.shown_percent(F.col("index_exact")).alias("shown"), checks.band(F.col("index_percent")).alias("band"))
+
+
+def _online(spark: SparkSession, sf: str) -> DataFrame:
+    """Benchmark passages and read pages as sources found online."""
+    p, u = table(spark, sf, "pages"), F.col("url")
+    pages = p.select((1_000_000_000 + F.col("page_id")).alias("src_id"), "url", pages_of.raw_title(F.col("html")).alias("title"), urls.classify(u).alias("type"), F.col("html").alias("text"))
+    return checks.origins(benchmark=_typed(spark, sf), pages=pages)
+
+
+@query(f"""WITH o AS (SELECT 'benchmark' AS origin, ['Internet', 'Publication', 'Student Paper'][item_id % 3 + 1] AS type, item_id AS src_id FROM benchmark
+UNION ALL SELECT 'pages', type, 1000000000 + page_id FROM ({SQL["classify_source"]})) SELECT origin, src_id, type FROM o WHERE type = 'Publication'""")
+def publication_sources(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.publications_only(_online(spark, sf), web=False).select("origin", "src_id", "type")
+
+
+@query(f"""SELECT doc_id, 'quoted' AS layer, "start", "end" FROM ({SQL["quote_spans"]}) UNION ALL SELECT doc_id, 'cited', "start", "end" FROM ({SQL["cited_sentences"]})""")
+def highlight_layers(spark: SparkSession, sf: str) -> DataFrame:
+    return checks.highlight_layers(quoted=quote_spans(spark, sf), cited=cited_sentences(spark, sf))
+
+
+@query("""SELECT 'db' || (page_id % 5) AS database, 'db' || (page_id % 5) || ' could not be searched' AS note FROM pages GROUP BY 1, 2 HAVING bool_and(page_id % 5 = 3 OR contains(url, 'q'))""")
+def database_notes(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("page_id") % 5
+    return checks.database_notes(table(spark, sf, "pages").select(F.concat(F.lit("db"), k.cast("string")).alias("database"), ((k == 3) | F.col("url").contains("q")).alias("failed")))
+
+
+@query(f"""WITH {_PAPERS}, ix AS (SELECT doc_id AS id, index_percent FROM ({SQL["similarity_index"]})), fl AS (SELECT doc_id AS id, CAST(count(*) AS BIGINT) AS flags FROM ({SQL["integrity_flags"]}) GROUP BY 1)
+SELECT id, assignment, title, author, status, words, index_percent AS percent, CAST(id % 50 AS BIGINT) AS ai, id % 2 = 0 AS ai_available, coalesce(flags, 0) AS flags FROM papers JOIN ix USING (id) LEFT JOIN fl USING (id)""")
+def paper_list(spark: SparkSession, sf: str) -> DataFrame:
+    """The list of an assignment's papers; scores of machine authorship are given, the rest is computed."""
+    ai = documents(spark, sf).select("doc_id", (F.col("doc_id") % 50).alias("percent"), (F.col("doc_id") % 2 == 0).alias("available"))
+    return checks.summaries(_papers(spark, sf), similarity_index(spark, sf), ai, integrity_flags(spark, sf))
+
+
+@query()
+def check_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document checked against all others and the benchmark passages."""
+    d = documents(spark, sf)
+    out = checks.check_submissions(d, d.select("doc_id", F.col("source").alias("title"), "text"), _typed(spark, sf))
+    return out.select("doc_id", "status", "total_words", "matched_words", "index_percent", F.size("sources").alias("sources"), F.to_json("by_type").alias("by_type"))
+
+
+@query()
+def ai_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Machine authorship of whole documents by a model trained on the quality labels."""
+    d = documents(spark, sf).select("doc_id", "text")
+    lexicon = authorship.corpus_lexicon(d)
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = authorship.train(authorship.vectors(authorship.featurize(d.join(labels.select("doc_id"), "doc_id", "left_semi"), lexicon)).join(labels, "doc_id"))
+    return checks.detect_ai(d, lexicon, model)[0]
