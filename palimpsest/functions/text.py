@@ -174,7 +174,7 @@ def is_cited(sentence: str) -> bool:
 def cited_flags(text: str, sentences: list[tuple[int, int]]) -> list[bool]:
     """Whether a sentence has a citation, or a short next one opens with it."""
     parts = [text[a:b] for a, b in sentences]
-    follow = [*parts[1:], ""]
+    follow = [*parts[1:], ""][: len(parts)]
     return [is_cited(p) or len(n.encode()) < 40 and bool(_CITATION.search(n)) for p, n in zip(parts, follow, strict=True)]
 
 

@@ -673,21 +673,3 @@ def paper_list(spark: SparkSession, sf: str) -> DataFrame:
     """The list of an assignment's papers; scores of machine authorship are given, the rest is computed."""
     ai = documents(spark, sf).select("doc_id", (F.col("doc_id") % 50).alias("percent"), (F.col("doc_id") % 2 == 0).alias("available"))
     return checks.summaries(_papers(spark, sf), similarity_index(spark, sf), ai, integrity_flags(spark, sf))
-
-
-@query()
-def check_run(spark: SparkSession, sf: str) -> DataFrame:
-    """Every document checked against all others and the benchmark passages."""
-    d = documents(spark, sf)
-    out = checks.check_submissions(d, d.select("doc_id", F.col("source").alias("title"), "text"), _typed(spark, sf))
-    return out.select("doc_id", "status", "total_words", "matched_words", "index_percent", F.size("sources").alias("sources"), F.to_json("by_type").alias("by_type"))
-
-
-@query()
-def ai_reports(spark: SparkSession, sf: str) -> DataFrame:
-    """Machine authorship of whole documents by a model trained on the quality labels."""
-    d = documents(spark, sf).select("doc_id", "text")
-    lexicon = authorship.corpus_lexicon(d)
-    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label"))
-    model = authorship.train(authorship.vectors(authorship.featurize(d.join(labels.select("doc_id"), "doc_id", "left_semi"), lexicon)).join(labels, "doc_id"))
-    return checks.detect_ai(d, lexicon, model)[0]

@@ -28,7 +28,7 @@ def write_features(rows: DataFrame, path: str) -> None:
 
 def formatted_evaluation(evaluation: DataFrame) -> DataFrame:
     """A line of text per group, in order of the groups: ``line``."""
-    dash = lambda c: F.coalesce(F.format_string("%.1f", c), F.lit("-"))
+    dash = lambda c: F.when(F.col(c).isNull(), "-").otherwise(F.format_string("%.1f", c))
     line = F.format_string("%-24s %6d %6d %8s %8s %8s", "grp", "docs", "scored", dash("ge20"), dash("gt0"), dash("mean"))
     return evaluation.orderBy("grp").select(line.alias("line"))
 
