@@ -67,10 +67,10 @@ def replaced_chars(docs: DataFrame) -> DataFrame:
 
 
 def hidden_words(docs: DataFrame) -> DataFrame:
-    """``doc_id, words`` in hidden spans. ``docs``: ``doc_id, text, hidden`` with code-point spans."""
+    """``doc_id, words`` in hidden spans. ``docs``: ``doc_id, text, hidden`` with spans in UTF-8 bytes, as the readers of files give them."""
     part = F.explode_outer("hidden")
     one = docs.select("doc_id", "text", part.alias("h"))
-    n = F.size(T.norms(F.expr("substring(text, h.start + 1, h.end - h.start)")))
+    n = F.size(T.norms(F.expr("decode(substring(encode(text, 'UTF-8'), h.start + 1, h.end - h.start), 'UTF-8')")))
     return one.groupBy("doc_id").agg(F.coalesce(F.sum(F.when(F.col("h").isNotNull(), n)), F.lit(0)).alias("words"))
 
 

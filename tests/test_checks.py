@@ -3,7 +3,7 @@ import gzip
 from pyspark.sql import functions as F
 
 from palimpsest.functions import text
-from palimpsest.operators import authorship, checks
+from palimpsest.operators import authorship, checks, store
 from palimpsest.sources import tables
 
 FOX = "quick brown fox jumps over lazy dog near river while students measured water temperature every morning"
@@ -60,6 +60,13 @@ def test_small_rules(spark):
     assert sorted(map(tuple, kept.collect())) == [(1, 1, 0), (1, 2, 0)]
 
 
+def test_hidden_words_of_byte_spans(spark):
+    body = "Één öffentlich überall hidden words here"
+    start = len(body[: body.index("hidden")].encode())
+    docs = spark.createDataFrame([(1, body, [(start, start + len("hidden words"))]), (2, body, []), (3, None, None)], "doc_id long, text string, hidden array<struct<start:int,end:int>>")
+    assert {r["doc_id"]: r["words"] for r in store.hidden_words(docs).collect()} == {1: 2, 2: 0, 3: 0}
+
+
 def test_line_and_table_files(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"id": "a", "label": 1, "group": "g", "text": "x"}\nno json\n{"id": "b", "label": 0, "text": "y"}\n')
     assert sorted(map(tuple, tables.labelled_texts(spark, str(tmp_path / "t.jsonl")).collect())) == [("a", 1, "g", "x"), ("b", 0, None, "y")]
