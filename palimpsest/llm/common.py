@@ -13,9 +13,6 @@ Conventions that hold for every operator of this subpackage:
 from __future__ import annotations
 
 import gc
-import re
-import tempfile
-import uuid
 from functools import reduce
 from operator import add
 
@@ -23,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
+from ..shared import materialize, release, shared_dir  # noqa: F401
+
 #: Measured bytes up to which a side is broadcast; beyond it joins shuffle.
 BROADCAST_BYTES = 32 << 20
 
@@ -33,41 +32,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the session names none, a temporary one of this process, which only a local master can read."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="palimpsest-"))
-        found = _own[0]
-    return found
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._palimpsest_path = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Deletes tables made by :func:`materialize` that no later plan reads."""
-    for df in frames:
-        path = getattr(df, "_palimpsest_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """``df``, with Arrow batches of whole texts kept short in its session, so that Python workers hold little at once."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -98,25 +98,3 @@ def coverage_by_type(subs: DataFrame, sources: DataFrame) -> DataFrame:
     runs = exact_passages(subs.withColumnRenamed("doc_id", "sub_id"), sources).join(sources.select("src_id", "type"), "src_id")
     matched = covered_words(runs, ["sub_id", "type"]).withColumnRenamed("sub_id", "doc_id")
     return matched.join(token_counts(subs), "doc_id").select("doc_id", "type", T.percent(F.col("matched"), F.col("tokens")).alias("percent"))
-
-
-def cohort_overlap(docs: DataFrame, cohort: str) -> DataFrame:
-    """Exact overlap of all pairs inside a cohort: ``cohort, a, b, words, percent_a, percent_b``; ``a`` is the later upload.
-
-    Words are those of ``a`` in runs shared with ``b``, and the same number is divided by both lengths.
-    """
-    here = docs.select(F.col(cohort).alias("cohort"), "doc_id", "text")
-    a = positions(here, "doc_id", ["cohort"]).withColumnRenamed("doc_id", "a")
-    b = a.select("cohort", "shingle", F.col("a").alias("b"), F.col("pos").alias("src_pos"))
-    hits = a.join(b, ["cohort", "shingle"]).where("a > b").select("cohort", "a", "b", "pos", (F.col("pos") - F.col("src_pos")).alias("diag"))
-    order = Window.partitionBy("a", "b", "diag").orderBy("pos")
-    runs = hits.withColumn("island", F.col("pos") - F.row_number().over(order)).groupBy("cohort", "a", "b", "diag", "island")
-    runs = runs.agg(F.min("pos").alias("sub_from"), (F.max("pos") + K).alias("sub_to")).where(F.col("sub_to") - F.col("sub_from") >= MIN_WORDS)
-    words = covered_words(runs, ["cohort", "a", "b"]).where("matched > 0")
-    n = token_counts(docs)
-    share: Column = F.col("matched")
-    return (
-        words.join(n.select(F.col("doc_id").alias("a"), F.col("tokens").alias("na")), "a")
-        .join(n.select(F.col("doc_id").alias("b"), F.col("tokens").alias("nb")), "b")
-        .select("cohort", "a", "b", share.alias("words"), T.percent(share, F.col("na")).alias("percent_a"), T.percent(share, F.col("nb")).alias("percent_b"))
-    )

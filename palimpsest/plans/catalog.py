@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions import lists, urls
 from ..functions import text as T
-from ..operators import align, authorship, checks, overlap, report, search, store
+from ..operators import align, authorship, checks, cohorts, overlap, report, search, store
 from ..sources import connectors
 from ..sources import html as pages_of
 
@@ -287,7 +287,7 @@ c AS (SELECT source, a, b, count(DISTINCT p) AS m FROM (SELECT source, a, b, unn
 SELECT c.source AS cohort, a, b, CAST(m AS BIGINT) AS words, {_PCT.format('m', 'len(x.w)')} AS percent_a, {_PCT.format('m', 'len(y.w)')} AS percent_b
 FROM c JOIN tok x ON x.doc_id = a JOIN tok y ON y.doc_id = b""")
 def cohort_overlap_exact(spark: SparkSession, sf: str) -> DataFrame:
-    return overlap.cohort_overlap(documents(spark, sf), "source")
+    return cohorts.cohort_overlap(documents(spark, sf), "source")
 
 
 def _blocks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
