@@ -28,7 +28,7 @@ SPACE = " \t\n\r\f\v"
 
 def norms(text: Column) -> Column:
     """Normal forms of a text's tokens: invisible characters dropped, look-alikes folded, lower case, no apostrophes at the ends."""
-    folded = F.lower(F.translate(F.regexp_replace(text, f"[{lists.INVISIBLE}]", ""), FROM, TO))
+    folded = F.lower(F.translate(text, FROM + lists.INVISIBLE, TO))  # what has no counterpart is dropped
     return F.transform(F.regexp_extract_all(folded, F.lit(rf"[\p{{L}}\p{{Nd}}][\p{{L}}\p{{Nd}}']*"), F.lit(0)), lambda w: F.rtrim(w, F.lit("'")))
 
 

@@ -633,7 +633,7 @@ def paper_neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT cohort, a, b, words, CAST(row_number() OVER (PARTITION BY cohort ORDER BY words DESC, a, b) AS INTEGER) AS rank FROM ({SQL['cohort_overlap_exact']})")
 def ranked_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return checks.ranked_pairs(cohort_overlap_exact(spark, sf)).select("cohort", "a", "b", "words", "rank")
+    return cohorts.ranked_pairs(documents(spark, sf), "source")
 
 
 @query(f"""SELECT doc_id, CASE WHEN index_exact > 0 AND index_exact < 1 THEN '<1%' ELSE CAST(floor(index_exact + 0.5) AS BIGINT) || '%' END AS shown,
