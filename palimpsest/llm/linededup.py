@@ -22,9 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import drop_worker_caches, materialize, read, release, small
+from .common import drop_worker_caches, materialize, read, release, short_batches, small
 
 KEY = ["doc_id", "version"]
+#: Rows that go to a Python worker at once; a row of a pair has all lines of both documents.
+BATCH = 200
 
 
 def _patience(a: list[int], b: list[int], a0: int, a1: int, b0: int, b1: int, out: list[tuple[int, int]]) -> None:
@@ -208,6 +210,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 8, line_words: int = 4, rar
     ``version`` is a hash of the text. Null and empty texts have no lines; null ids take no part; rows that share an id are not compared with each other; of repeated rows each holds once.
     No documents, no rows. A text is held as a hash and a count for each of its lines.
     """
+    short_batches(docs, BATCH)
     table = materialize(lines_of(docs.where("doc_id is not null")).dropDuplicates(KEY), "lines")
     held = materialize(_runs_of(table, min_words, line_words), "held")
     first = held.groupBy("h").agg(F.min(F.struct(*KEY)).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("df"))

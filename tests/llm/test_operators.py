@@ -590,3 +590,15 @@ def test_empty_tables(spark):
     assert langid.predict(none, langid.fit(none.withColumn("lang", F.lit("en"))), ["doc_id"]).count() == 0
     assert quality.score(none, None).count() == 0
     assert chat.chat_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_line_dedup_sends_short_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        docs = spark.createDataFrame([(1, "one two three four five six seven eight nine"), (2, "x")], "doc_id long, text string")
+        assert linededup.dedup_lines(docs).count() == 2
+        assert int(spark.conf.get(name)) <= linededup.BATCH
+    finally:
+        spark.conf.set(name, before)
