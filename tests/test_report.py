@@ -4,6 +4,7 @@ from palimpsest.functions import text as T
 from palimpsest.operators import authorship, report
 from palimpsest.operators.align import passages
 from palimpsest.operators.report import Filters, Source, build
+from palimpsest.shared import materialize
 
 TEXT = (
     'Opening words of my own stand here first. "the quick brown fox jumps over the lazy dog near the river" (Doe, 2019).\n'
@@ -80,3 +81,26 @@ def test_features_use_the_whole_lexicon(spark):
     assert len(got) == len(want) > 20
     for (d, k, f), (d2, k2, f2) in zip(got, want, strict=True):
         assert (d, k) == (d2, k2) and all(abs(x - y) < 1e-8 for x, y in zip(f, f2, strict=True))
+
+
+def test_training_reads_its_rows_once(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id < 60")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    lexicon = authorship.corpus_lexicon(docs)
+    zipf = materialize(authorship.window_zipf(docs, lexicon), "zipf")
+    rows = authorship.vectors(authorship.featurize(docs.mapInPandas(counted, docs.schema), lexicon, zipf=zipf)).withColumn("label", F.col("doc_id") % 2)
+    authorship.train(rows, iterations=2)
+    assert seen.value == 60
+
+
+def test_features_without_terms(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20)
+    lexicon = authorship.corpus_lexicon(docs)
+    full, less = (sorted(map(tuple, authorship.featurize(docs, lexicon, terms=t).select("doc_id", "win", "words", "dense").collect())) for t in (True, False))
+    assert full == less and not authorship.featurize(docs, lexicon, terms=False).where("size(terms) > 0").count()
