@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontam, langid, linededup, minhash, packing
-from palimpsest.llm.common import materialize, read, release
+from palimpsest.llm.common import few_files, materialize, read, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.langs:
         return docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(*COLUMNS)
     scored = langid.predict(docs.select(*COLUMNS), model, COLUMNS)
-    return scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("claim") != 0)).select(*COLUMNS)
+    return few_files(scored.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("claim") != 0)).select(*COLUMNS))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(docs.select(*COLUMNS))
     blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\n\r\t", "   ")) == ""
     kept = out.where((F.col("n_dropped") == 0) | ~blank)
-    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS).transform(few_files)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Empty texts and rows without an id are in no group and stay; repeated rows are one document and stay or go together. Whole texts are compared; an empty table stays empty.
     """
     found = minhash.near_duplicates(docs, shingle=5).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS)
+    return few_files(docs.select(*COLUMNS).join(found, "doc_id", "left_anti").select(*COLUMNS))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     holds = found.select("doc_id", F.explode("items").alias("item")).join(long, "item", "left_semi").select("doc_id")
     gone = holds.unionByName(found.where("contaminated").select("doc_id")).distinct()
     kept = docs.select(*COLUMNS)
-    return kept.join(gone, kept["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*COLUMNS)
+    return few_files(kept.join(gone, kept["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(*COLUMNS))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

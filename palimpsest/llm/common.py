@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-from ..shared import materialize, release, shared_dir  # noqa: F401
+from ..shared import few_files, materialize, release, shared_dir  # noqa: F401
 
 #: Measured bytes up to which a side is broadcast; beyond it joins shuffle.
 BROADCAST_BYTES = 32 << 20

@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from palimpsest.llm import registry
+from palimpsest.llm.common import materialize
 
 from .test_operators import WORDS, sentence
 
@@ -97,3 +98,18 @@ def test_rest_works_without_these_folders(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env=env, check=False)
     assert done.returncode == 0, done.stderr
+
+
+def test_small_tables_are_written_to_few_files(spark, tmp_path):
+    """211 partitions of small tables made 211 files each, and processes for every file; on the table with hot keys that took an executor's memory twice."""
+    schema = ", ".join(f"{c} {t}" for c, t in zip(corpus_pipeline.COLUMNS, ("long", "string", "string", "string", "long"), strict=True))
+    spark.createDataFrame([(k, f"{k} words of a text", "en", "s", 10) for k in range(3000)], schema).write.parquet(str(tmp_path / "docs"))
+    docs, most, before = spark.read.parquet(str(tmp_path / "docs")), 4 * spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 211)
+        out = materialize(docs.repartition(211), "many")
+        assert out.count() == 3000 and 1 < len(out.inputFiles()) <= most
+        assert sorted(r.doc_id for r in out.select("doc_id").collect()) == list(range(3000))
+        assert corpus_pipeline.language(spark, docs.repartition(211), "").rdd.getNumPartitions() <= most
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
