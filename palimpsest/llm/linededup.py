@@ -12,14 +12,17 @@ is aligned or no holder is left.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from .common import drop_worker_caches, materialize, read, release, short_batches, small
@@ -91,75 +94,123 @@ def aligned_blocks(early: list[int], late: list[int]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in blocks]
 
 
+_WHITE = re.compile(rb"[ \t\r\x0b\x0c]+")
+
+
+def _line_words(text: bytes, lines: list[bytes]) -> list[int]:
+    """Words of each trimmed line of a text, as split at white space; blank lines have none."""
+    if any(x in text for x in (b"  ", b"\t", b"\r", b"\x0b", b"\x0c")):
+        return [1 + len(_WHITE.findall(x)) if x else 0 for x in lines]
+    return [1 + x.count(b" ") if x else 0 for x in lines]
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """``doc_id, version, hashes, words`` per document: a hash of the text, a hash and a count of words for each line. Blank lines have hash 0."""
-    line = "trim(BOTH ' \t\r' FROM x)"
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_caches()
+        for batch in batches:
+            lines: list[bytes] = []
+            words: list[int] = []
+            bounds = [0]
+            for text in batch.column("text").to_pylist():
+                own = [x.strip(b" \t\r") for x in text.split(b"\n")]
+                words += _line_words(text, own)
+                lines += own
+                bounds.append(len(lines))
+            count = np.array(words, "int32")
+            hashes = np.where(count > 0, pd.util.hash_array(np.array(lines, object), categorize=False).astype("int64"), 0)
+            columns = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x)) for x in (hashes, count)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("version"), *columns], ["doc_id", "version", "hashes", "words"])
+
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("version"), F.split(text, "\n", -1).alias("lines")).select(
-        "doc_id",
-        "version",
-        F.expr(f"transform(lines, x -> if({line} = '', 0L, xxhash64({line})))").alias("hashes"),
-        F.expr(f"transform(lines, x -> if({line} = '', 0, size(split({line}, '\\\\s+'))))").alias("words"),
-    )
+    schema = StructType([docs.schema["doc_id"], StructField("version", LongType()), StructField("hashes", ArrayType(LongType())), StructField("words", ArrayType(IntegerType()))])
+    return docs.select("doc_id", F.xxhash64(text).alias("version"), text.cast("binary").alias("text")).mapInArrow(rows, schema)
 
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def _shortest_runs(hashes: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the shortest runs of at least ``min_words`` words from each line that is not blank, to the right and to the left."""
-    sums, full = np.concatenate([[0], np.cumsum(words)]), np.flatnonzero(hashes)
+def _spread(bounds: np.ndarray) -> np.ndarray:
+    """The number of its document for each line, where document ``k`` has the lines from ``bounds[k]`` to ``bounds[k + 1]``."""
+    return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+
+
+def _shortest_runs(hashes: np.ndarray, words: np.ndarray, bounds: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the shortest runs of at least ``min_words`` words from each line that is not blank, to the right and to the left, inside its document."""
+    sums, full, doc = np.concatenate([[0], np.cumsum(words, dtype="int64")]), np.flatnonzero(hashes), _spread(bounds)
     ends = np.searchsorted(sums, sums[full] + min_words)
-    right = ends <= len(hashes)
+    right = ends <= bounds[1:][doc[full]]
     starts = np.searchsorted(sums, sums[full + 1] - min_words, "right") - 1
-    left = sums[full + 1] >= min_words
+    left = starts >= bounds[:-1][doc[full]]
     return np.concatenate([full[right], starts[left]]), np.concatenate([ends[right], full[left] + 1])
 
 
 def _span_hashes(hashes: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Hashes of runs of lines; equal lines in equal order have equal hashes wherever they stand."""
-    n = len(hashes)
     h = np.asarray(hashes, "int64").astype("uint64")
-    powers, back = (np.cumprod(np.array([1] + [x] * (n - 1), "uint64")) for x in (_BASE, _INVERSE))
+    powers, back = (np.cumprod(np.concatenate([np.ones(1, "uint64"), np.full(max(len(h) - 1, 0), x, "uint64")]))[: len(h)] for x in (_BASE, _INVERSE))
     upto = np.concatenate([np.zeros(1, "uint64"), np.cumsum(h * powers)])
     run = (upto[e] - upto[s]) * back[s] + (e - s).astype("uint64") * np.uint64(_BASE)
     return ((run ^ (run >> np.uint64(29))) * np.uint64(_INVERSE)).astype("int64")
 
 
-def _run_hashes(hashes: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
-    """Hashes of runs of two and more lines with at least ``min_words`` words: the shortest from each line, runs of 2, 4, 8 ... lines, and the whole document."""
-    n = len(hashes)
-    if n < 2:
-        return np.zeros(0, "int64")
-    hashes, sums = np.asarray(hashes, "int64"), np.concatenate([[0], np.cumsum(words)])
-    starts = np.flatnonzero(hashes)
-    pairs = [_shortest_runs(hashes, words, min_words)]
-    size = 2
-    while size <= n:
-        at = starts[starts + size <= n]
+def _held_runs(hashes: np.ndarray, words: np.ndarray, bounds: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and hashes of runs of two and more lines with at least ``min_words`` words: the shortest from each line, runs of 2, 4, 8 ... lines, and whole documents."""
+    sums, starts = np.concatenate([[0], np.cumsum(words, dtype="int64")]), np.flatnonzero(hashes)
+    doc = _spread(bounds)
+    last = bounds[1:][doc[starts]]
+    pairs = [_shortest_runs(hashes, words, bounds, min_words)]
+    size, most = 2, int(np.diff(bounds).max(initial=0))
+    while size <= most:
+        at = starts[starts + size <= last]
         pairs.append((at, at + size))
         size *= 2
-    pairs.append((np.array([0]), np.array([n])))
+    pairs.append((bounds[:-1], bounds[1:]))
     s, e = (np.concatenate(x) for x in zip(*pairs, strict=True))
     some = (sums[e] - sums[s] >= min_words) & (e > s + 1)
-    return np.unique(_span_hashes(hashes, s[some], e[some]))
+    s, e = s[some], e[some]
+    return doc[s], _span_hashes(hashes, s, e)
+
+
+def _run_hashes(hashes: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
+    """Hashes of the runs of one document; see :func:`_held_runs`."""
+    return np.unique(_held_runs(np.asarray(hashes, "int64"), words, np.array([0, len(hashes)]), min_words)[1])
+
+
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all rows' lists, and where each row's begin and end."""
+    bounds = lists.offsets.to_numpy(zero_copy_only=False).astype("int64")
+    return lists.flatten().to_numpy(zero_copy_only=False), bounds - bounds[0]
+
+
+def _rows_of(batch: pa.RecordBatch, at: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    """``doc_id, version, h``: hashes with the keys of the rows ``at`` that have them, each once for a row."""
+    order = np.lexsort((h, at))
+    at, h = at[order], h[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (h[1:] != h[:-1])
+    rows = pa.array(at[new], pa.int64())
+    return pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in KEY), pa.array(h[new], pa.int64())], [*KEY, "h"])
+
+
+def _key_schema(table: DataFrame) -> StructType:
+    return StructType([table.schema["doc_id"], table.schema["version"], StructField("h", LongType())])
 
 
 def _runs_of(table: DataFrame, min_words: int, line_words: int) -> DataFrame:
-    """``doc_id, version, h`` of lines with at least ``line_words`` words and of runs (:func:`_run_hashes`); each once for a document."""
+    """``doc_id, version, h`` of lines with at least ``line_words`` words and of runs (:func:`_held_runs`); each once for a document."""
 
-    @F.pandas_udf("array<long>")
-    def runs(rows: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_worker_caches()
-        for hashes, words in rows:
-            out = []
-            for h, w in zip(hashes, words, strict=True):
-                h, w = np.asarray(h, "int64"), np.asarray(w)
-                out.append(np.concatenate([np.unique(h[w >= line_words]), _run_hashes(h, w, min_words)]))
-            yield pd.Series(out)
+        for batch in batches:
+            (hashes, bounds), (words, _) = _flat(batch.column("hashes")), _flat(batch.column("words"))
+            long = np.flatnonzero(words >= line_words)
+            doc, h = _held_runs(hashes, words, bounds, min_words)
+            yield _rows_of(batch, np.concatenate([_spread(bounds)[long], doc]), np.concatenate([hashes[long], h]))
 
-    return table.select("doc_id", "version", F.explode(runs("hashes", "words")).alias("h"))
+    return table.select(*KEY, "hashes", "words").mapInArrow(runs, _key_schema(table))
 
 
 def _counts(hashes: np.ndarray, words: np.ndarray, s: int, e: int, min_words: int, frequent: frozenset[int], share: float) -> bool:
@@ -174,29 +225,40 @@ def common_lines(early: np.ndarray, late: np.ndarray, words: np.ndarray, min_wor
     return [k for k in gone if late[k] != 0]
 
 
-def open_runs(hashes: np.ndarray, words: np.ndarray, drop: np.ndarray, shared: np.ndarray, min_words: int, frequent: frozenset[int], share: float) -> list[int]:
-    """Hashes of the shortest runs of enough words that are ``shared`` and hold a line that is not in ``drop``."""
-    if not len(hashes):
-        return []
+def open_runs(
+    hashes: np.ndarray, words: np.ndarray, bounds: np.ndarray, drop: tuple[np.ndarray, np.ndarray], shared: tuple[np.ndarray, np.ndarray], min_words: int, frequent: frozenset[int], share: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and hashes of the shortest runs of enough words that are ``shared`` and hold a line that is not in ``drop`` (each: values, and where a document's begin and end)."""
     kept = hashes != 0
-    kept[drop] = False
-    s, e = _shortest_runs(hashes, words, min_words)
+    kept[drop[0] + bounds[:-1][_spread(drop[1])]] = False
+    s, e = _shortest_runs(hashes, words, bounds, min_words)
     left = np.concatenate([[0], np.cumsum(kept)])
     some = left[e] > left[s]
     s, e = s[some], e[some]
-    key = np.where(e == s + 1, hashes[s], _span_hashes(hashes, s, e))
-    some = np.isin(key, shared)
-    return sorted({int(k) for k, a, b in zip(key[some], s[some].tolist(), e[some].tolist(), strict=True) if _counts(hashes, words, a, b, min_words, frequent, share)})
+    key, doc, known = np.where(e == s + 1, hashes[s], _span_hashes(hashes, s, e)), _spread(bounds)[s], np.unique(shared[0])
+    if not len(known):
+        return doc[:0], key[:0]
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    some = (known[at] == key) & np.isin(doc * len(known) + at, _spread(shared[1]) * len(known) + np.searchsorted(known, shared[0]))
+    s, e, key, doc = s[some], e[some], key[some], doc[some]
+    own = [slice(a, b) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    some = np.array([_counts(hashes[own[d]], words[own[d]], a - own[d].start, b - own[d].start, min_words, frequent, share) for d, a, b in zip(doc.tolist(), s.tolist(), e.tolist(), strict=True)], bool)
+    return doc[some], key[some]
+
+
+def _written(df: DataFrame, tag: str) -> DataFrame:
+    """:func:`materialize`; where Spark joins small parts of shuffles by itself, they are not dealt anew."""
+    return materialize(df, tag, deal=df.sparkSession.conf.get("spark.sql.adaptive.coalescePartitions.enabled") != "true")
 
 
 def _ranked(held: DataFrame) -> DataFrame:
     """``h, doc_id, version, rank``: a written table of a line's or run's holders, numbered from 1 by id. Sorted by ranges, so that no task gets all holders of one."""
     order = ["h", *KEY]
-    ranged = materialize(held.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ranged")
+    ranged = _written(held.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "ranged")
     parts = ranged.groupBy("h", "part").agg(F.count("*").alias("n"))  # a row for each run and partition that has it
     before = F.coalesce(F.sum("n").over(Window.partitionBy("h").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     local = ranged.withColumn("k", F.row_number().over(Window.partitionBy("h", "part").orderBy(*KEY)))
-    out = materialize(local.join(parts.select("h", "part", before.alias("before")), ["h", "part"]).select(*order, (F.col("before") + F.col("k")).alias("rank")), "ranked")
+    out = _written(local.join(parts.select("h", "part", before.alias("before")), ["h", "part"]).select(*order, (F.col("before") + F.col("k")).alias("rank")), "ranked")
     release(ranged)
     return out
 
@@ -211,16 +273,19 @@ def repeated_lines(docs: DataFrame, min_words: int = 8, line_words: int = 4, rar
     No documents, no rows. A text is held as a hash and a count for each of its lines.
     """
     short_batches(docs, BATCH)
-    table = materialize(lines_of(docs.where("doc_id is not null")).dropDuplicates(KEY), "lines")
-    held = materialize(_runs_of(table, min_words, line_words), "held")
-    first = held.groupBy("h").agg(F.min(F.struct(*KEY)).alias("first"), F.max("doc_id").alias("last"), F.count("*").alias("df"))
-    first = materialize(first.where("df > 1 and first.doc_id < last"), "first")  # written, so that a join can split a frequent line's holders
+    table = materialize(lines_of(docs.where("doc_id is not null")), "lines")
+    total = table.select(*KEY).distinct().count()
+    if total < table.count():
+        table, rows = materialize(table.dropDuplicates(KEY), "lines"), table
+        release(rows)
+    held = materialize(_runs_of(table, min_words, line_words), "held", deal=False)  # no shuffle: as many files as lines
+    # of rows that share the smallest id any may come first; all other holders are tried where it does not do. Numbers alone need no sort
+    first = held.groupBy("h").agg(F.min("doc_id").alias("early"), F.min_by("version", "doc_id").alias("early_version"), F.max("doc_id").alias("last"), F.count("*").alias("df"))
+    first = _written(first.where("df > 1 and early < last"), "first")  # written, so that a join can split a frequent line's holders
     # more than `most` of all documents hold each of these: at most 1 / most times the lines that a document has on average
-    frequent = frozenset(r.h for r in first.where((F.col("df") > rare) & (F.col("df") > most * table.count())).select("h").collect())
-    met = held.join(first.select("h", "first"), "h").where("doc_id <> first.doc_id")
-    met = materialize(met.select(*KEY, "h", F.col("first.doc_id").alias("early"), F.col("first.version").alias("early_version")), "met")
-    other = table.select(F.col("doc_id").alias("early"), F.col("version").alias("early_version"), F.col("hashes").alias("early_hashes"))
+    frequent = frozenset(r.h for r in first.where((F.col("df") > rare) & (F.col("df") > most * total)).select("h").collect())
     pair = [*KEY, "early", "early_version"]
+    met = _written(held.join(first.select("h", "early", "early_version").hint("shuffle_hash"), "h").where("doc_id <> early").select(*pair, "h"), "met")
 
     @F.pandas_udf("array<int>")
     def dropped(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -228,41 +293,44 @@ def repeated_lines(docs: DataFrame, min_words: int = 8, line_words: int = 4, rar
         for batch in rows:
             yield pd.Series([common_lines(*(np.asarray(x) for x in row), min_words, frequent, share) for row in zip(*batch, strict=True)])
 
-    @F.pandas_udf("array<long>")
-    def still_open(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for batch in rows:
-            yield pd.Series([open_runs(*(np.asarray(x) for x in row), min_words, frequent, share) for row in zip(*batch, strict=True)])
+    def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (hashes, bounds), (words, _), drop, shared = (_flat(batch.column(c)) for c in ("hashes", "words", "drop", "shared"))
+            yield _rows_of(batch, *open_runs(hashes, words, bounds, drop, shared, min_words, frequent, share))
 
-    def aligned(pairs: DataFrame) -> DataFrame:
-        found = pairs.join(table, KEY).join(other, pair[2:]).select(*KEY, dropped("early_hashes", "hashes", "words").alias("d"))
-        return materialize(found.where("size(d) > 0"), "aligned")
+    def aligned(pairs: DataFrame, lines: DataFrame) -> DataFrame:
+        other = lines.select(F.col("doc_id").alias("early"), F.col("version").alias("early_version"), F.col("hashes").alias("early_hashes"))
+        found = pairs.join(lines, KEY).join(other, pair[2:]).select(*KEY, dropped("early_hashes", "hashes", "words").alias("d"))
+        return _written(found.where("size(d) > 0"), "aligned")
 
     def together(parts: list[DataFrame]) -> DataFrame:
         return reduce(DataFrame.unionByName, parts).groupBy(*KEY).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("d")))).alias("drop"))
 
-    def left_open(shared: DataFrame, parts: list[DataFrame]) -> DataFrame:
-        state = shared.groupBy(*KEY).agg(F.collect_set("h").alias("shared")).join(table, KEY).join(together(parts), KEY, "left")
-        runs = still_open("hashes", "words", F.coalesce("drop", F.array().cast("array<int>")), "shared")
-        return materialize(state.select(*KEY, F.explode(runs).alias("h")), "open")
+    def left_open(shared: DataFrame, lines: DataFrame, gone: DataFrame) -> DataFrame:
+        state = shared.groupBy(*KEY).agg(F.collect_set("h").alias("shared")).join(lines, KEY).join(gone, KEY, "left")
+        drop = F.coalesce("drop", F.array().cast("array<int>")).alias("drop")
+        return state.select(*KEY, "hashes", "words", drop, "shared").mapInArrow(still_open, _key_schema(table))
 
-    parts = [aligned(met.select(*pair).distinct())]
-    open_ = left_open(met, parts)
+    parts = [aligned(met.select(*pair).distinct(), table)]
+    open_ = _written(left_open(met, table, together(parts)), "open")
     if not open_.isEmpty():
         ranked = _ranked(held.join(open_.select("h").distinct(), "h", "left_semi"))
+        # from here on only the open runs' holders and what the documents with open runs have lost are read
+        near = _written(table.join(ranked.select(*KEY).distinct(), KEY, "left_semi"), "near")
+        lost = _written(parts[0].join(open_.select(*KEY).distinct(), KEY, "left_semi"), "lost")
+        there = ranked.select("h", "rank", F.col("doc_id").alias("early"), F.col("version").alias("early_version"))
         reach = 1
-        while True:
-            mine = open_.join(ranked, ["h", *KEY]).where(F.col("rank") > reach)
-            if mine.isEmpty():
-                break
+        mine = _written(open_.join(ranked, ["h", *KEY]).where(F.col("rank") > reach), "mine")
+        while not mine.isEmpty():
             steps = F.sequence(F.greatest(F.lit(1), F.col("rank") - 2 * reach + 1), F.col("rank") - reach)
-            there = ranked.select("h", "rank", F.col("doc_id").alias("early"), F.col("version").alias("early_version"))
             pairs = mine.select("h", *KEY, F.explode(steps).alias("rank")).join(there, ["h", "rank"]).where("early < doc_id").select(*pair).distinct()
-            parts.append(aligned(pairs))
-            old, open_ = open_, left_open(mine.select(*KEY, "h"), parts)
-            release(old)
+            parts.append(aligned(pairs, near))
             reach *= 2
-        release(ranked)
-    out = materialize(together(parts), "drop")
+            old, more = mine, mine.where(F.col("rank") > reach)  # others have no holder left
+            mine = _written(left_open(more, near, together([lost, *parts[1:]])).join(more, ["h", *KEY]), "mine")
+            release(old)
+        release(ranked, near, lost, mine)
+    out = _written(together(parts), "drop")
     release(table, held, first, met, open_, *parts)
     return out
 

@@ -39,11 +39,11 @@ def few_files(df: DataFrame) -> DataFrame:
     return df.repartition(most) if most < int(spark.conf.get("spark.sql.shuffle.partitions")) else df
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, deal: bool = True) -> DataFrame:
+    """Writes a table to the shared folder and reads it back: cuts lineage, survives lost executors. ``deal``: by :func:`few_files`, which a plan without shuffles does not need."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    few_files(df).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
+    (few_files(df) if deal else df).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._palimpsest_path = path
     return out

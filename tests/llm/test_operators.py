@@ -452,6 +452,56 @@ def test_line_dedup_of_rows_that_share_an_id(spark):
     assert kept == {1: 0, 2: 20000}
 
 
+def test_line_dedup_rounds_read_only_holders_of_open_runs(spark, monkeypatch):
+    """Held runs are written without a shuffle, and rounds after the first do not read all lines again."""
+    written, write = [], linededup.materialize
+
+    def noted(df, tag, **options):
+        written.append((tag, {re.split(r"-[0-9a-f]{32}/", x)[0].rsplit("/", 1)[-1] for x in df.inputFiles()}, options))
+        return write(df, tag, **options)
+
+    monkeypatch.setattr(linededup, "materialize", noted)
+    rng = random.Random(17)
+    x, y = (sentence(rng, 12) for _ in range(2))
+    docs = [(1, f"{x}\n{y}"), (2, f"{y}\n{x}"), (3, f"{y}\n{x}")] + [(10 + k, sentence(rng, 20)) for k in range(50)]
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    for coalesced in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+        written.clear()
+        try:
+            got = {r.doc_id: list(r.drop) for r in linededup.repeated_lines(docs_of(spark, docs)).collect()}
+        finally:
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+        assert {k: len(v) for k, v in got.items() if v} == {2: 1, 3: 2}
+        rounds = [names for tag, names, _ in written if tag == "aligned"]
+        assert len(rounds) > 1 and "lines" in rounds[0] and not any("lines" in names for names in rounds[1:])
+        assert [options.get("deal", True) for tag, _, options in written if tag == "held"] == [False]
+
+
+def test_lines_of_counts_words_as_split_at_white_space(spark):
+    rng = random.Random(18)
+    texts = ["".join(rng.choice(["a", "é", "\u00a0", " ", " ", "  ", "\t", "\r", "\n", "\x0b", "\f", "bc"]) for _ in range(rng.randrange(40))) for _ in range(300)] + ["one two\nthree", "", None]
+    got = {r.doc_id: r for r in linededup.lines_of(docs_of(spark, list(enumerate(texts)))).collect()}
+    number = {}
+    for k, text in enumerate(texts):
+        lines = [x.strip(" \t\r") for x in (text or "").split("\n")]
+        assert list(got[k].words) == [len(re.split(r"[ \t\n\x0b\f\r]+", x)) if x else 0 for x in lines]
+        assert [h == 0 for h in got[k].hashes] == [not x for x in lines]
+        assert all(number.setdefault(x, h) == h for x, h in zip(lines, got[k].hashes, strict=True))
+    assert len(set(number.values())) == len(number)
+
+
+def test_runs_of_a_batch_are_those_of_each_document():
+    rng = np.random.default_rng(19)
+    size = rng.integers(0, 9, 60)
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    words = rng.integers(0, 7, bounds[-1])
+    hashes = np.where(words > 0, rng.integers(1, 6, bounds[-1]), 0)
+    doc, h = linededup._held_runs(hashes, words, bounds, 8)
+    for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        assert sorted(set(h[doc == k].tolist())) == linededup._run_hashes(hashes[a:b], words[a:b], 8).tolist()
+
+
 def test_patience_alignment_is_a_common_subsequence():
     rng = random.Random(12)
     for _ in range(1500):
