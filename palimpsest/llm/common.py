@@ -12,10 +12,12 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from functools import reduce
 from operator import add
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
@@ -45,12 +47,20 @@ def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
 WORKER_CACHES: list[dict] = []
 
 
+def give_back() -> None:
+    """Gives memory that is free in this worker back to the system, as other tasks' leavings count beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what is free below a block in use
+        trim(0)
+
+
 def drop_worker_caches() -> None:
     """Frees what another operator's tasks have left in this worker."""
     for cache in WORKER_CACHES:
         if cache:
             cache.clear()
             gc.collect()
+    give_back()
 
 
 def _width(column: Column, kind: DataType) -> Column:

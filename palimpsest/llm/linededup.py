@@ -287,12 +287,14 @@ def repeated_lines(docs: DataFrame, min_words: int = 8, line_words: int = 4, rar
     pair = [*KEY, "early", "early_version"]
     met = _written(held.join(first.select("h", "early", "early_version").hint("shuffle_hash"), "h").where("doc_id <> early").select(*pair, "h"), "met")
 
-    @F.pandas_udf("array<int>")
-    def dropped(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def common(rows: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         drop_worker_caches()
         for batch in rows:
             yield pd.Series([common_lines(*(np.asarray(x) for x in row), min_words, frequent, share) for row in zip(*batch, strict=True)])
 
+    # Not deterministic to the planner, so that a filter on the result does not run it twice, in two workers.
+    dropped = F.pandas_udf(common, "array<int>").asNondeterministic()
+
     def still_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             (hashes, bounds), (words, _), drop, shared = (_flat(batch.column(c)) for c in ("hashes", "words", "drop", "shared"))

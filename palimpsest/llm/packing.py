@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, short_batches, WORKER_CACHES
+from .common import give_back, read, short_batches, WORKER_CACHES
 
 CAPACITY, END_ID = 4096, 2
 HELD_IDS = 1 << 18  # ids of finished sequences that a worker holds before it gives them on
@@ -199,6 +199,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     """
 
     def packed(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         tok, packer = tokenizer(tokenizer_path), Packer(capacity, pool_tokens)
         number = TaskContext.get().partitionId() << 32
         end = np.array([end_id], "<u4")

@@ -4,9 +4,12 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -17,6 +20,7 @@ from tokenizers import Tokenizer
 from palimpsest.llm import chat, decontam, langid, licenses, linededup, minhash, packing, pii, quality, simhash
 from palimpsest.llm.components import components
 
+ROOT = Path(__file__).resolve().parents[2]
 SF = "/root/testdata/sf0.01"
 WORDS = [a + b + c for a in "bdfgkl" for b in "aeiou" for c in ("n", "rt", "st", "")]
 
@@ -642,6 +646,40 @@ def test_empty_tables(spark):
     assert chat.chat_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_line_dedup_aligns_each_pair_in_one_python_worker(spark, monkeypatch):
+    """A filter on the diff's result once ran the diff a second time, in a second worker of the same task."""
+    plans, write = [], linededup.materialize
+
+    def noted(df, tag, **options):
+        if tag == "aligned":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, tag, **options)
+
+    monkeypatch.setattr(linededup, "materialize", noted)
+    rng = random.Random(31)
+    block = sentence(rng, 20)
+    got = {r.doc_id: r.n_dropped for r in linededup.dedup_lines(docs_of(spark, [(1, block), (2, f"{sentence(rng, 9)}\n{block}")])).collect()}
+    assert got == {1: 0, 2: 1} and plans
+    assert {p.split("Initial Plan")[0].count("ArrowEvalPython") for p in plans} == {1}
+
+
+def test_workers_give_dropped_caches_back_to_the_system():
+    """Idle workers stay beside a stage's JVM memory; freed blocks below one that is held once stayed theirs."""
+    code = """
+import re
+from palimpsest.llm import common
+held = lambda: int(re.search(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())[1]) >> 10
+cache = {k: bytes(1000) for k in range(100_000)}
+pin = bytes(1000)
+common.WORKER_CACHES.append(cache)
+full = held()
+common.drop_worker_caches()
+print(full - held(), len(cache))
+"""
+    freed, left = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT).stdout.split())
+    assert freed > 80 and left == 0
+
+
 def test_line_dedup_sends_short_batches(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
