@@ -12,17 +12,15 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
-import ctypes
 import gc
 from functools import reduce
 from operator import add
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-from ..shared import few_files, materialize, release, shared_dir  # noqa: F401
+from ..shared import few_files, give_back, materialize, release, shared_dir, short_batches  # noqa: F401
 
 #: Measured bytes up to which a side is broadcast; beyond it joins shuffle.
 BROADCAST_BYTES = 32 << 20
@@ -34,26 +32,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """``df``, with Arrow batches of whole texts kept short in its session, so that Python workers hold little at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= rows:
-        conf.set(name, rows)
-    return df
-
-
 #: Caches that Python workers keep between tasks, as workers are used again.
 WORKER_CACHES: list[dict] = []
 
 
-def give_back() -> None:
-    """Gives memory that is free in this worker back to the system, as other tasks' leavings count beside the executor's heap."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps what is free below a block in use
-        trim(0)
-
-
 def drop_worker_caches() -> None:
     """Frees what another operator's tasks have left in this worker."""
     for cache in WORKER_CACHES:

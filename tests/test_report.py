@@ -104,3 +104,47 @@ def test_features_without_terms(spark):
     lexicon = authorship.corpus_lexicon(docs)
     full, less = (sorted(map(tuple, authorship.featurize(docs, lexicon, terms=t).select("doc_id", "win", "words", "dense").collect())) for t in (True, False))
     assert full == less and not authorship.featurize(docs, lexicon, terms=False).where("size(terms) > 0").count()
+
+
+ODD = [
+    "It's - - odd -- isn't it? " * 40 + "We don't know, Dr. Foo said so. and then \u201cit\u201d went on \u2014 slowly. " * 40,
+    "Heading without mark that goes on for many words here and there and everywhere so that it counts as prose of its own in the end\n" * 4,
+    "Sh. A cat sat down on the mat here. Oh. \u0130stanbul \u03a3\u03a3 \u0430bc caf\u00e9 d\u2019\u00e9t\u00e9 12 34! " * 60,
+    "", "no", "x" * 3000 + " one two three four five. " * 8,
+]
+
+
+def test_passages_equal_single_windows():
+    zipf = {"it": 6.5, "we": 6.0, "cat": 4.2, "d": 2.0}
+    held = authorship.Passages()
+    for k, text in enumerate(ODD):
+        held.add(k, text)
+    held.close()
+    want = [(k, w, m, p) for k, t in enumerate(ODD) for w, (m, p) in enumerate(authorship.window_texts(t))]
+    assert [x[:3] for x in want] == held.rows and len(want) > 8
+    for (_, _, _, part), row in zip(want, held.dense(zipf.get), strict=True):
+        assert all(abs(x - y) < 1e-7 for x, y in zip(row, authorship.dense_features(part, zipf), strict=True))
+
+
+def test_only_rare_words_are_joined(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(30)
+    lexicon = authorship.corpus_lexicon(docs)
+    assert authorship.window_zipf(docs, lexicon).count() == 0  # all are among those shipped
+    get = lambda: sorted((r.doc_id, r.win, *(round(x, 9) for x in r.dense)) for r in authorship.featurize(docs, lexicon, terms=False).collect())
+    every = get()
+    monkeypatch.setattr(authorship, "SHIPPED", 50)
+    assert authorship.window_zipf(docs, lexicon).count() > 0 and get() == every
+
+
+def test_terms_hashed_in_place_equal_those_of_vectors(spark):
+    docs = spark.createDataFrame([(k, t, k % 2) for k, t in enumerate(ODD)], "doc_id long, text string, label int")
+    docs = docs.unionByName(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select((F.col("doc_id") + 100).alias("doc_id"), "text", (F.col("doc_id") % 2).cast("int").alias("label")).orderBy("doc_id").limit(20))
+    lexicon = materialize(authorship.corpus_lexicon(docs), "lexicon")
+    common = authorship.shipped(lexicon)
+    zipf = materialize(authorship.window_zipf(docs, lexicon, common), "zipf")
+    full = authorship.vectors(authorship.featurize(docs, lexicon, zipf=zipf))
+    every = lambda rows: sorted((list(r.dense_vec), list(zip(r.sparse_vec.indices.tolist(), r.sparse_vec.values.round(9).tolist(), strict=True))) for r in rows.collect())
+    assert every(authorship.labelled(docs, common, zipf)) == every(full)
+    model = authorship.train(authorship.labelled(docs, common, zipf), iterations=3)
+    one, other = (sorted((r.doc_id, r.win, list(r.members), round(r.p, 8)) for r in rows.collect()) for rows in (authorship.score_texts(docs, model, common, zipf), authorship.score_windows(full, model)))
+    assert len(one) == len(other) > 20 and all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-7 for a, b in zip(one, other, strict=True))
